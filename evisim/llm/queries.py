@@ -52,3 +52,41 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evisim.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(spark))
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evisim.llm.chat import format_chats, read_chats
+    from evisim.llm.staging import staged
+
+    marks = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return read_chats(staged(format_chats(turns.unionByName(extra), tokenizer_path(spark)), "chat-windows"))
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evisim.llm.pii import pseudonymise
+
+    key = spark.conf.get("spark.evisim.pii.key", "demonstration key, not a secret")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evisim.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"))
+
+
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evisim.llm.warc import archive_folder, read_archives, write_archives
+
+    folder = archive_folder(spark)
+    index = write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evisim.llm.line_dedup import drop_lines
+
+    out = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
