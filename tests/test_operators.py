@@ -183,3 +183,41 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(out) == rows(events.tumbling(data))
     twice = data.unionByName(data)
     assert events.first_of(twice).count() == data.count()
+
+
+def test_arrow_functions(spark):
+    from evisim.operators import arrow_udfs as au
+
+    assert au.split_arguments('f(a, g(b, c), "x, )", [1, 2])') == ["a", "g(b, c)", '"x, )"', "[1, 2]"]
+    assert au.split_arguments("f()") == [] == au.split_arguments("none") == au.split_arguments("f(a")
+    df = spark.createDataFrame([(1, "ab abc xab"), (2, None)], "id long, t string")
+    assert rows(au.replace_words(df, "t", {"ab": "abc", "abc": "z"}).filter("t IS NOT NULL")) == [(1, "abc z xab")]
+    assert rows(au.find_words(df, "id", "t", ["abc", "xa"])) == [(1, "abc", 3)]
+    assert au.top_level_statements("let a = {b: 1};function f(){ return ';' } g()") == ["let a = {b: 1}", ";", "function f(){ return ';' }", "g()"]
+    assert au.demangle_name("_ZN3foo3barE") == "foo::bar" and au.demangle_name("_Z3addii") == "add" and au.demangle_name("main") is None
+    js = spark.createDataFrame([("p", "a();b();c();")], "path string, code string")
+    assert [r.code for r in au.chunked_scripts(js, 8).collect()] == ["a();\nb();", "c();"]
+
+
+def test_dominators_and_loops():
+    from evisim.operators.arrow_udfs import dominators_of, embeds, loops_of
+
+    edges = [(1, 2), (2, 3), (3, 2), (2, 4), (1, 4), (4, 5), (5, 4), (9, 5)]
+    assert dominators_of(edges, 1) == {1: 1, 2: 1, 3: 2, 4: 1, 5: 4}
+    assert loops_of(edges, 1) == {2: {2, 3}, 4: {4, 5}}
+    assert embeds([(1, 2), (2, 1)], edges) is True and embeds([(1, 2), (2, 3), (3, 1)], edges) is False
+    assert embeds([(a, b) for a in range(6) for b in range(6) if a != b], [(a, b) for a in range(9) for b in range(9) if a != b and (a + b) % 7], budget=5) is None
+
+
+def test_dispatch_climbs_to_the_nearest_class(spark):
+    from evisim.operators import dispatch as dp
+
+    sites = spark.createDataFrame([("s1", "C", "m"), ("s2", "C", "x"), ("s3", "A", "n")], "site string, receiver string, selector string")
+    methods = spark.createDataFrame([("B", "m", "B.m"), ("A", "m", "A.m"), ("A", "x", "A.x")], "cls string, selector string, func string")
+    tree = spark.createDataFrame([("C", "B"), ("B", "A"), ("A", "C")], "child string, parent string")
+    assert rows(dp.resolve_dispatch(sites, methods, tree, most=5)) == [("s1", "B.m", 1), ("s2", "A.x", 2)]
+    e = spark.createDataFrame([("f", "s1"), ("f", "g")], "src string, dst string")
+    r = spark.createDataFrame([("f", "s1", "B.m")], "src string, site string, target string")
+    assert rows(dp.dispatched_edges(e, r)) == [("f", "B.m"), ("f", "g")]
+    assert dp.affected(e, spark.createDataFrame([("g",)], "node string"), 10).count() == 2
+    assert dp.affected(e, spark.createDataFrame([("g",)], "node string"), 2) is None
