@@ -149,15 +149,14 @@ def strong_components(edges: DataFrame, stage: Stage = checkpointed) -> DataFram
 
 def longest_path(edges: DataFrame, stage: Stage = checkpointed, most: int = 1000) -> DataFrame:
     """node, depth: edges on the longest path that ends there, on an acyclic edge table; rounds end when nothing moves."""
-    e = edges.select("src", "dst").distinct()
-    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    depth = stage(nodes.select("node", F.lit(0).alias("depth")))
-    front = depth
-    for d in range(1, most + 1):
+    e = stage(edges.select("src", "dst").distinct())
+    front = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    seen = front.select("node", F.lit(0).alias("depth"))
+    for d in range(1, most + 1):  # a node is in the front of round d if a path of d edges ends there
         front = stage(front.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct())
         if front.isEmpty():
-            return depth
-        depth = stage(depth.join(front.withColumn("hit", F.lit(True)), "node", "left").select("node", F.when(F.col("hit"), F.lit(d)).otherwise(F.col("depth")).alias("depth")))
+            return seen.groupBy("node").agg(F.max("depth").alias("depth"))
+        seen = seen.unionByName(front.select("node", F.lit(d).alias("depth")))
     raise ValueError("the edges have a cycle or a path beyond the limit")
 
 

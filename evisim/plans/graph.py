@@ -73,7 +73,7 @@ SELECT a.node, min(a.reach) AS scc FROM r a JOIN r b ON a.node = b.reach AND a.r
 
 
 def longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.longest_path(_calls(spark, sf_dir))
+    return g.longest_path(_calls(spark, sf_dir).filter("src < dst"))  # key 0 calls itself
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ QUERIES = {
     "callee_profile_propagation": (profiles, _profile_sql()),
     "connected_components": (components, _COMPONENTS),
     "mutual_reachability_scc": (sccs, _SCC),
-    "longest_pipeline": (longest, _CALLS + ", d AS (SELECT src AS node, 0 AS depth FROM e UNION SELECT dst, 0 FROM e UNION SELECT e.dst, depth + 1 FROM d JOIN e ON node = src) SELECT node, max(depth) AS depth FROM d GROUP BY 1"),
+    "longest_pipeline": (longest, _CALLS + ", a AS (SELECT * FROM e WHERE src < dst), b AS (SELECT src AS node, 0 AS depth FROM a UNION SELECT dst, 0 FROM a), d AS (SELECT * FROM b UNION SELECT a.dst, depth + 1 FROM d JOIN a ON node = src) SELECT node, max(depth) AS depth FROM d GROUP BY 1"),
     "trace_paths": (traces, _TRACES),
     "reach_depth": (reach, _REACH),
     "label_communities": (communities, _communities_sql()),
