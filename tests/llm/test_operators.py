@@ -335,6 +335,18 @@ def test_fuzzy_lines(spark):
     assert drop_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_any_script_and_long_words_take_part(spark):
+    from evisim.llm.line_dedup import drop_lines
+
+    lines = ["本网站所有内容版权归原作者所有", "版权所有翻印必究", "สงวนลิขสิทธิ์ทั้งหมดโดยผู้จัดทำเว็บไซต์", "one\u3000two\u3000three\u3000four\u3000five", "a\xa0b\xa0c\xa0d\xa0e", "f" * 64, "All rights reserved", "Share this page"]
+    docs = make_docs(spark, ["\n".join([f"{prose(k, 20)}", *lines, "Heading"]) for k in range(3)])
+    for r in drop_lines(docs).collect():
+        assert r.n_removed == (len(lines) if r.doc_id else 0)
+        assert r.text.split("\n")[1:] == (["Heading"] if r.doc_id else [*lines, "Heading"])
+    near = make_docs(spark, ["chapter 1 of 20", "chapter 2 of 20"])  # too short to be taken for one another
+    assert [r.n_removed for r in drop_lines(near).collect()] == [0, 0]
+
+
 # 7 mixing
 
 
