@@ -347,6 +347,23 @@ def test_lines_of_any_script_and_long_words_take_part(spark):
     assert [r.n_removed for r in drop_lines(near).collect()] == [0, 0]
 
 
+def test_lines_with_a_changed_word_are_found(spark):
+    from evisim.llm.line_dedup import drop_lines
+
+    r, pairs = random.Random(8), []
+    for k in range(300):
+        a = prose(1000 + k, 5 + k % 46)
+        words = a.split()
+        words[r.randrange(len(words))] = "".join(r.choice("stuvwxyz") for _ in range(r.randrange(2, 7)))
+        b = " ".join(words)
+        if 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8:
+            pairs.append((a, b))
+    assert len(pairs) > 250
+    docs = make_docs(spark, [x for pair in pairs for x in pair])
+    removed = {x.doc_id: x.n_removed for x in drop_lines(docs).collect()}
+    assert sum(removed[2 * k + 1] for k in range(len(pairs))) >= 0.97 * len(pairs) and not any(removed[2 * k] for k in range(len(pairs)))
+
+
 # 7 mixing
 
 
