@@ -8,8 +8,9 @@ Of records with equal payloads of `least` bytes or more the one with the largest
 revisits that name it; smaller payloads are all responses. Digests are found before payloads move: a payload's size and SHA-1
 group the pages, and pages meet their record's type by page_id and digest.
 
-A task writes a bundle under a name of its own and renames it when it is whole, to a name that follows from its first record
-and content; a task that runs again writes the same bytes to the same name. Files go where Spark's shared folder is, by the file
+A task writes a bundle under a name of its own and renames it when it is whole, to a name that follows from its partition, its
+number there and its content: bundles of equal bytes are files of their own, and a task that runs again writes the same bytes to
+the same name. Files go where Spark's shared folder is, by the file
 system that its URI names, and are read back by Spark.
 
 Null html counts as empty. Null urls give records without a target URI; control characters and spaces in urls are
@@ -167,13 +168,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, frame_bytes: i
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
+        part, number = TaskContext.get().partitionId(), 0
         store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
         store.create_dir(base, recursive=True)
 
         def finish(bundle: Bundle) -> pa.RecordBatch:
+            nonlocal number
             data = bundle.close()
-            name = f"{hashlib.sha256(data).hexdigest()[:32]}.warc.zst"
+            name = f"{part:06d}-{number:06d}-{hashlib.sha256(data).hexdigest()[:32]}.warc.zst"
+            number += 1
             own = f"{base}/_{uuid.uuid4().hex}"
             with store.open_output_stream(own, compression=None) as f:
                 f.write(data)

@@ -525,6 +525,22 @@ def test_archives(spark):
     assert read_archives(spark, archive_folder(spark), write_archives(pages.limit(0), archive_folder(spark))).count() == 0
 
 
+def test_equal_bundles_of_two_partitions_both_come_back(spark):
+    from evisim.llm.staging import new_path
+    from evisim.llm.warc import archive_folder, read_archives, write_archives
+
+    path = new_path(spark, "pages")
+    spark.range(0, 2, 1, 2).selectExpr("7L AS page_id", "'http://x/' AS url", "'page' AS html").write.parquet(path)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # each file is a partition
+    try:
+        folder = archive_folder(spark)
+        index = write_archives(spark.read.parquet(path), folder)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    rows = read_archives(spark, folder, index).collect()
+    assert [(r.page_id, r.record_type, bytes(r.payload)) for r in rows] == [(7, "response", b"page")] * 2 and index.select("bundle").distinct().count() == 2
+
+
 # components
 
 
