@@ -9,7 +9,8 @@ Shards hold about SHARD_KEYS keys and are addressed by the digest's leading bits
 is skewed: only distinct digests are looked up, and copies meet again in a join that Spark can split.
 
 Null texts count as empty. The largest doc_id of equal texts stays; null doc_ids lose to any other. Rows with the winner's
-doc_id count as that document and are all marked kept; `drop_repeats` leaves one of them. Extra columns pass through it.
+doc_id count as that document and are all marked kept; `drop_repeats` leaves one of them. It removes rows by doc_id and text, so
+rows of one doc_id with different texts are judged each by itself. Extra columns pass through it.
 """
 
 from __future__ import annotations
@@ -155,10 +156,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't in ids(doc_id). ids is a written table, so Spark knows whether it is small enough to send."""
-    gone = ids.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and text's digest are in rows(doc_id, digest). rows is a written table, so Spark knows whether it is small enough to send."""
+    gone = rows.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__d"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(text_of(), 256)) == F.col("__d")), "left_anti")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -167,14 +168,22 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     distinct = staged(distinct_digests(digests), "dedup-distinct")
     index, shards = build_index(distinct)
     winners = staged(assign(digests, index, shards, distinct), "dedup-winners").select(F.col("digest").alias("d"), "winner")
-    lost = digests.join(winners, (F.col("digest") == F.col("d")) & (F.col("doc_id") != F.col("winner"))).select("doc_id").distinct()
-    kept = without_ids(docs, staged(lost, "dedup-lost"))
-    twice = staged(distinct.filter("winner_rows > 1").select("winner").filter("winner IS NOT NULL").distinct(), "dedup-twice")
+    other = (F.col("digest") == F.col("d")) & ~F.col("doc_id").eqNullSafe(F.col("winner"))
+    lost = digests.join(winners, other).select("doc_id", "digest").distinct()
+    kept = without(docs, staged(lost, "dedup-lost"))
+    # Without any doc_id but null there is no winner's row count: these digests' sizes say how often they come.
+    rows = F.coalesce("winner_rows", F.when(F.col("winner").isNull(), F.col("size")))
+    return once_each(kept, staged(distinct.filter(rows > 1).select(F.col("winner").alias("doc_id"), "digest"), "dedup-twice"))
+
+
+def once_each(docs: DataFrame, twice: DataFrame) -> DataFrame:
+    """docs with one row for each of twice(doc_id, digest), a written table; other rows as they are."""
     if twice.isEmpty():
-        return kept
-    ids = twice.withColumnRenamed("winner", "__twice")
-    once = docs.join(ids, docs["doc_id"] == F.col("__twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return without_ids(kept, twice.withColumnRenamed("winner", "doc_id")).unionByName(once)
+        return docs
+    ids = twice.select(F.col("doc_id").alias("__twice"), F.col("digest").alias("__d"))
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(text_of(), 256)))
+    once = marked.join(ids, F.col("doc_id").eqNullSafe(F.col("__twice")) & (F.col("__digest") == F.col("__d")), "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return without(docs, twice).unionByName(once.drop("__digest"))
 
 
 def batches(frames: Iterator[DataFrame]) -> Iterator[tuple[DataFrame, DataFrame]]:

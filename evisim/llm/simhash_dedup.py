@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from evisim.llm.components import components
-from evisim.llm.exact_dedup import without_ids
+from evisim.llm.exact_dedup import once_each, without
 from evisim.llm.staging import staged
+from evisim.llm.words import text_of
 
 BLOCKS = 4
 BITS = 16
@@ -57,15 +58,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the text's SHA-256 if asked for."""
+    more = [F.unhex(F.sha2(text_of(), 256)).alias("digest")] if digest else []
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digest)
 
 
 def block_tree(values: np.ndarray, weights: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -179,16 +181,20 @@ def links(nodes: DataFrame, distance: int = DISTANCE, shard_keys: int = SHARD_KE
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs."""
-    fps = staged(fingerprints(docs, shingle, seed), "near-fps")
+def _grouped(fps: DataFrame, distance: int) -> DataFrame:
+    """fps, a written table, with component_id and root, which tells groups apart."""
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "near-nodes")
     found = components(links(nodes, distance), "near-links")
     rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "near-rooted")
     lowest = staged(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "near-lowest").withColumnRenamed("root", "r")
-    ids = staged(rooted.join(lowest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "near-ids")
-    return fps.join(ids, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    ids = staged(rooted.join(lowest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", "root"), "near-ids")
+    return fps.join(ids, F.col("fp") == F.col("f")).drop("f")
+
+
+def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fp, component_id of every row of docs."""
+    return _grouped(staged(fingerprints(docs, shingle, seed), "near-fps"), distance).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(column: str = "fp"):
@@ -197,7 +203,11 @@ def fingerprint_hex(column: str = "fp"):
 
 
 def drop_near(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id."""
-    groups = near_groups(docs, distance)
-    lost = staged(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "near-lost")
-    return without_ids(docs, lost)
+    """docs with one row of each group: the one with the smallest doc_id, null last, then the smallest digest of the text."""
+    groups = _grouped(staged(fingerprints(docs, digest=True), "near-fps"), distance)
+    rows = staged(groups.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "near-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    firsts = staged(rows.groupBy("root").agg(F.min(place).alias("first")), "near-firsts").withColumnRenamed("root", "r")
+    judged = rows.join(firsts, F.col("root") == F.col("r")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+    judged = staged(judged.filter("n > 1 OR NOT kept").select("doc_id", "digest", "kept"), "near-lost")
+    return once_each(without(docs, judged.filter("NOT kept").select("doc_id", "digest")), judged.filter("kept").select("doc_id", "digest"))

@@ -541,6 +541,36 @@ def test_equal_bundles_of_two_partitions_both_come_back(spark):
     assert [(r.page_id, r.record_type, bytes(r.payload)) for r in rows] == [(7, "response", b"page")] * 2 and index.select("bundle").distinct().count() == 2
 
 
+# rows of one doc_id and without doc_id
+
+
+def test_rows_are_dropped_by_doc_id_and_text(spark):
+    from evisim.llm.exact_dedup import drop_repeats
+    from evisim.llm.simhash_dedup import drop_near
+
+    a, b, c, d = (prose(k, 100) for k in range(4))
+    rows = [(5, a), (9, a), (5, b), (None, a), (None, c), (None, c), (None, d), (5, b), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(5, b), (7, ""), (9, a), (None, c), (None, d)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in drop_repeats(docs).collect()), key=key) == sorted(want, key=key)
+    near = a.rsplit(" ", 1)[0] + " x"
+    assert (slow_fingerprint(a) ^ slow_fingerprint(near)).bit_count() <= 3
+    rows = [(5, a), (5, near), (3, near), (5, b), (None, a), (None, c), (None, c), (5, d), (5, d)]
+    got = [(r.doc_id, r.text) for r in drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(3, near), (5, b), (5, d), (None, c)]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_lines_of_rows_with_one_doc_id_or_none(spark):
+    from evisim.llm.line_dedup import drop_lines
+
+    x, own = prose(1, 12), [prose(10 + k, 12) for k in range(4)]
+    rows = [(1, f"{x}\nend"), (2, f"{x}\n{own[0]}"), (2, own[1]), (None, own[2]), (3, f"{own[2]}\n{own[2]}"), (None, f"{own[3]}\n{own[2]}")]
+    got = {(r.doc_id, r.text) for r in drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, f"{x}\nend"), (2, own[0]), (2, own[1]), (None, own[2]), (3, ""), (None, own[3])}
+
+
 # components
 
 
