@@ -7,8 +7,9 @@ its separators, and another value another one:
 * cards: all digits but the last, which is computed anew, so pseudonyms pass Luhn too
 * IBANs: the digits of the account, with check digits computed anew; letters and country stay
 * social-security-like and phone numbers: the digits (of international numbers those after the country code)
-* IPv4 addresses: the 32 bits
-* dates: the day's place in the 400 years from 1700 on
+* IPv4 addresses: the 32 bits; a slash may stand before and after (URLs, prefix lengths)
+* dates: the day's place in the 400 years from 1700 on; a time may follow after a T. With slashes the day comes first; where
+  that is no date, as in 12/25/1987, the month does, in the pseudonym too
 * email addresses and long hex secrets have no bounded format: a keyed digest stands in for them
 
 Text outside valid values isn't touched: sixteen digits that fail Luhn, versions or clause numbers stay.
@@ -30,16 +31,18 @@ DATE_START = "1700-01-01"
 
 _NUM = r"(?<![\p{L}\p{N}_.+/-])"
 _END = r"(?![\p{L}\p{N}_]|[.,/-]\p{N})"
+_IP_NUM, _IP_END = _NUM.replace("/", ""), _END.replace("/", "")
+_TIME = "(?=T[0-9]{2})"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?<![\p{L}\p{N}_])[0-9a-f]{32,128}(?![\p{L}\p{N}_])",
+    "secret": r"(?<![\p{L}\p{N}_])[0-9a-f]{32,}(?![\p{L}\p{N}_])",
     "iban": _NUM + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": _NUM + r"(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})" + _END,
     "ssn": _NUM + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})" + _END,
-    "ip": _NUM + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _END,
-    "date": _NUM + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _END,
+    "ip": _IP_NUM + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _IP_END,
+    "date": _NUM + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _END + ")",
 }
 KINDS = tuple(PATTERNS)
 
@@ -109,10 +112,11 @@ def _mod97(text: str) -> str:
 def _replacement(key: str) -> str:
     """SQL of the pseudonym of a match m, or of m itself where it isn't valid."""
     only = "regexp_replace(m, '[^0-9]', '')"
-    is_a = {k: f"m RLIKE {_sql('^(?:' + p.replace(_NUM, '').replace(_END, '').replace('(?<![' + chr(92) + 'p{L}' + chr(92) + 'p{N}._%+-])', '') + ')$')}" for k, p in PATTERNS.items()}
+    is_a = {k: f"m RLIKE {_sql('^(?:' + p.replace(_NUM, '').replace(_END, '').replace(_IP_NUM, '').replace(_IP_END, '').replace(_TIME, '').replace('(?<![' + chr(92) + 'p{L}' + chr(92) + 'p{N}._%+-])', '') + ')$')}" for k, p in PATTERNS.items()}
     digest = f"sha2(concat_ws('|', {_sql(key)}, 'text', lower(m)), 256)"
+    further = f"sha2(concat_ws('|', {_sql(key)}, 'text', k, lower(m)), 256)"
     email = f"concat('user-', substr({digest}, 1, 16), '@mail.invalid')"
-    secret = f"substr(repeat({digest}, 2), 1, length(m))"
+    secret = f"substr(concat({digest}, {digest}, IF(length(m) > 128, array_join(transform(sequence(2, length(m) DIV 64), k -> {further}), ''), '')), 1, length(m))"
     card_new = _let("p", _digits(key, "card", "b"), f"concat(p, CAST(pmod(10 - {_luhn('p')} % 10, 10) AS STRING))")
     card = _let("d", only, f"IF(pmod({_luhn('substr(d, 1, length(d) - 1)')} + CAST(right(d, 1) AS INT), 10) = 0, {_let('b', 'substr(d, 1, length(d) - 1)', _let('n', card_new, _fill('m', 'n')))}, m)")
     ssn = _let("d", only, f"IF(substr(d, 1, 3) IN ('000', '666') OR d >= '900000000' OR substr(d, 4, 2) = '00' OR right(d, 4) = '0000', m, {_let('n', _digits(key, 'ssn', 'd'), _fill('m', 'n'))})")
@@ -125,8 +129,11 @@ def _replacement(key: str) -> str:
     parts = "split(m, '[-./]')"
     iso = _let("y", parts, "IF(length(y[0]) = 4, m, concat_ws('-', y[2], lpad(y[1], 2, '0'), lpad(y[0], 2, '0')))")
     moved = _let("h", _feistel(key, "date", f"n DIV {cb}", f"n % {cb}", str(ca), str(cb), "'400y'"), f"date_add(DATE'{DATE_START}', CAST(h.a * {cb} + h.b AS INT))")
-    shown = "CASE WHEN m LIKE '%-%' THEN date_format(t, 'yyyy-MM-dd') WHEN m LIKE '%/%' THEN date_format(t, 'dd/MM/yyyy') ELSE date_format(t, 'dd.MM.yyyy') END"
-    date = _let("v", f"TRY_CAST({iso} AS DATE)", f"IF(v IS NULL OR v < DATE'{DATE_START}' OR v >= DATE'2100-01-01', m, {_let('t', _let('n', f'datediff(v, DATE{chr(39)}{DATE_START}{chr(39)})', moved), shown)})")
+    us = "split(m, '/')"
+    month_first = _let("y", us, "IF(size(y) = 3, concat_ws('-', y[2], lpad(y[0], 2, '0'), lpad(y[1], 2, '0')), NULL)")
+    by_day = f"TRY_CAST({iso} AS DATE)"
+    shown = f"CASE WHEN m LIKE '%-%' THEN date_format(t, 'yyyy-MM-dd') WHEN m LIKE '%/%' THEN date_format(t, IF({by_day} IS NULL, 'MM/dd/yyyy', 'dd/MM/yyyy')) ELSE date_format(t, 'dd.MM.yyyy') END"
+    date = _let("v", f"coalesce({by_day}, TRY_CAST({month_first} AS DATE))", f"IF(v IS NULL OR v < DATE'{DATE_START}' OR v >= DATE'2100-01-01', m, {_let('t', _let('n', f'datediff(v, DATE{chr(39)}{DATE_START}{chr(39)})', moved), shown)})")
     compact = "replace(m, ' ', '')"
     account = _let("q", "regexp_replace(substr(w, 5), '[^0-9]', '')", f"IF(length(q) < 2, substr(w, 5), {_let('n', _digits(key, 'iban', 'q'), _let('g', 'substr(w, 5)', _fill('g', 'n')))})")
     iban_new = _let("x", account, f"concat(substr(w, 1, 2), lpad(CAST(98 - {_mod97('concat(x, substr(w, 1, 2), ' + chr(39) + '00' + chr(39) + ')')} AS STRING), 2, '0'), x)")

@@ -277,6 +277,21 @@ def test_pseudonyms(spark):
     assert pseudonymise(docs.limit(0), "key").count() == 0
 
 
+def test_values_in_their_usual_places(spark):
+    from evisim.llm.pii import pseudonymise
+
+    rows = ["on 12/25/1987 x", "25.12.1987", "03/14/1990 13/13/1990", "http://10.0.0.5/a", "10.0.0.0/8", "1987-02-28T10:00:00Z", "1987-02-28", "k " + "ab" * 150, "05/04/1990", "1990-04-05", "v1.2.3.4.5 10.0.0.256/8", "a " + "ab" * 149 + "cd"]
+    out = [r.asDict() for r in pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    t = [r["text"] for r in out]
+    assert [r["n_pii"] for r in out] == [1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 1]
+    m, d, y = t[0].split()[1].split("/")
+    assert t[1] == f"{d}.{m}.{y}" != rows[1] and t[2].endswith(" 13/13/1990") and "03/14/1990" not in t[2]
+    assert "10.0.0.5" not in t[3] and re.fullmatch(r"http://(?:\d+\.){3}\d+/a", t[3]) and re.fullmatch(r"(?:\d+\.){3}\d+/8", t[4]) and not t[4].startswith("10.0.0.0")
+    assert t[5] == f"{t[6]}T10:00:00Z" and t[6] != rows[6]
+    assert re.fullmatch(r"k [0-9a-f]{300}", t[7]) and "abababab" not in t[7] and len(set(re.findall(".{64}", t[7][2:]))) > 1 and t[7][2:] != t[11][2:]
+    assert t[8].split("/") == t[9].split("-")[::-1] and t[10] == rows[10]
+
+
 def test_feistel_is_a_permutation(spark):
     from evisim.llm.pii import permute_digits, restore_digits
 
