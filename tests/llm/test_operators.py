@@ -379,6 +379,51 @@ def test_lines_with_a_changed_word_are_found(spark):
     assert sum(removed[2 * k + 1] for k in range(len(pairs))) >= 0.97 * len(pairs) and not any(removed[2 * k] for k in range(len(pairs)))
 
 
+def test_places_of_many_lines_lose_no_link(spark, monkeypatch):
+    from evisim.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "CROWD", 16)
+    r = random.Random(4)
+    phrase = " ".join("".join(r.choice("klmnop") for _ in range(14)) for _ in range(6))
+    lines = []
+    for _ in range(12):
+        tail = [r.choice("abcdefgh") * r.randrange(2, 5) for _ in range(r.randrange(2, 16))]
+        for _ in range(5):
+            t = list(tail)
+            t[r.randrange(len(t))] = "".join(r.choice("stuv") for _ in range(3))
+            lines.append(f"{phrase} {' '.join(t)}")
+    lines = list(dict.fromkeys(lines))
+    label = slow_components(lines, lambda a, b: 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8)
+    assert 3 < len(set(label)) < len(lines) - 10
+    got = line_dedup.drop_lines(make_docs(spark, lines).withColumns({"g": F.lit(1), "gone": F.lit(2), "__row": F.lit(3)})).collect()
+    assert sorted(x.doc_id for x in got if not x.n_removed) == sorted(set(label)) and got[0].gone == 2 and got[0]["__row"] == 3
+
+
+def test_fuzzy_recall_with_letters_changed_all_over(spark):
+    from evisim.llm.line_dedup import drop_lines
+
+    r, pairs = random.Random(9), []
+    for k in range(400):
+        a = prose(3000 + k, 10 + k % 40)
+        b = "".join(r.choice("stuvwxyz") if c != " " and r.random() < 0.06 else c for c in a)
+        if a != b and 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8:
+            pairs.append((a, b))
+    docs = make_docs(spark, [x for pair in pairs for x in pair])
+    removed = {x.doc_id: x.n_removed for x in drop_lines(docs).collect()}
+    assert len(pairs) > 350 and sum(removed[2 * k + 1] for k in range(len(pairs))) >= 0.8 * len(pairs)
+
+
+def test_blocks_find_every_near_fingerprint():
+    from evisim.llm.line_dedup import choices
+
+    r = random.Random(6)
+    for n, distance in ((100, 3), (1 << 26, 3), (1 << 36, 3), (1000, 2)):
+        masks = choices(n, distance)
+        for _ in range(300):
+            bits = sum(1 << b for b in r.sample(range(64), distance))
+            assert any(bits & m == 0 for m in masks)
+
+
 # 7 mixing
 
 
@@ -589,6 +634,20 @@ def test_lines_of_rows_with_one_doc_id_or_none(spark):
 # components
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    from evisim.llm import components as c
+
+    rounds = []
+    real = c._roots
+    monkeypatch.setattr(c, "_roots", lambda e, label: (rounds.append(1), real(e, label))[1])
+    mixed = list(range(10_000))
+    random.Random(3).shuffle(mixed)
+    for path in (range(10_000), mixed):
+        rounds.clear()
+        got = c.components(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long"))
+        assert got.filter("root = 0").count() == 10_000 and len(rounds) < 14
+
+
 def test_components_of_a_path_and_a_star(spark):
     from evisim.llm.components import components
 
