@@ -1,16 +1,20 @@
 """Chat formatting into budgeted, turn-aligned windows with a loss mask, and reading it back.
 
-A conversation's turns go by turn number. Prefix sums of turn tokens choose where a window ends: the longest run of turns
-that, with the retained system turn and the repeated history before them, stays within the budget. A turn is never cut; one
-that exceeds the budget by itself has a window of its own. Later windows repeat the system turn and up to HISTORY_TURNS turns
-of at most HISTORY_TOKENS. What a window repeats is marked so and masked; each assistant turn is a target once.
+A conversation's turns go by turn number. Prefix sums of turn tokens choose where a window ends (a search in them, not a
+running total): the longest run of turns that, with the retained system turn and the repeated history before them, stays within
+the budget. A turn is never cut. Later windows repeat the system turn and up to HISTORY_TURNS turns of at most HISTORY_TOKENS.
+What a window repeats is marked so and masked; each assistant turn is a target once.
+
+The budget is hard. A window repeats the system turn only if that leaves room for the first new turn, and no more history than
+there is room for after both; a system turn of more than SYSTEM_SHARE of the budget is repeated in no window. So a window
+exceeds the budget only if it is one turn that does so by itself, with nothing repeated.
 
 Format of a turn: `### role: text</turn>` and a line feed, with `~` before a repeated turn's role. In texts and roles a
 backslash goes before every backslash, `### ` and `</turn>` (in roles also before `:` and `~`), so nothing in a text reads as
 a mark, and dropping those backslashes gives the text back.
 
-Tasks stream over rows sorted by conversation and turn: they hold a window's turns, however long the conversation is.
-Null roles and texts are empty. Rows of one turn number go by role, then text; repeated rows are turns of their own. Null
+Tasks stream over rows sorted by conversation and turn and encode a batch of turns at once: they hold a batch and a window's
+turns, however long the conversation or a text is. An empty table gives no windows. Null roles and texts are empty. Rows of one turn number go by role, then text; repeated rows are turns of their own. Null
 conv_ids form one conversation. Extra columns are left out.
 """
 
@@ -18,15 +22,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 BUDGET = 1024
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 256
+#: A longer system turn, as a part of the budget, isn't repeated.
+SYSTEM_SHARE = 0.5
 #: Tokens that a turn's marks count for.
 TURN_TOKENS = 8
 
@@ -70,38 +78,48 @@ def parse(text: str) -> Iterator[tuple[bool, str, str]]:
         at = m.end()
 
 
-def windows_of(turns: Iterator[tuple[str, str]], cost: Callable[[str], int], budget: int, history_turns: int, history_tokens: int) -> Iterator[tuple[list[tuple[bool, str, str]], int]]:
-    """The windows of one conversation, each as turns and tokens."""
-    system: tuple[str, str, int] | None = None
-    history: deque[tuple[str, str, int]] = deque(maxlen=max(1, history_turns))
-    pending: list[tuple[str, str, int]] = []
-    repeated: list[tuple[str, str, int]] = []
-    prefix = [0]  # tokens of the pending turns before each
-
-    def window() -> tuple[list[tuple[bool, str, str]], int]:
-        return [(True, r, t) for r, t, _ in repeated] + [(False, r, t) for r, t, _ in pending], sum(c for *_, c in repeated) + prefix[-1]
-
-    for i, (role, text) in enumerate(turns):
-        turn = (role, text, cost(text) + TURN_TOKENS)
-        if pending and sum(c for *_, c in repeated) + prefix[-1] + turn[2] > budget:
-            yield window()
-            history.extend(p for p in pending[-history_turns:] if p is not system) if history_turns else None
-            repeated = [system] if system else []
-            room = min(history_tokens, budget - turn[2] - sum(c for *_, c in repeated))
-            tail: list[tuple[str, str, int]] = []
-            for past in reversed(history):
-                if not history_turns or past[2] > room:
-                    break
-                tail.append(past)
-                room -= past[2]
-            repeated += reversed(tail)
-            pending, prefix = [], [0]
-        if i == 0 and role == "system":
-            system = turn
-        pending.append(turn)
-        prefix.append(prefix[-1] + turn[2])
-    if pending:
-        yield window()
+class Conversation:
+    """Turns of one conversation that no window has yet, and the few before them that the next may repeat."""
+
+    def __init__(self, budget: int, history_turns: int, history_tokens: int, system_share: float = SYSTEM_SHARE) -> None:
+        self.budget, self.history_turns, self.history_tokens, self.system_share = budget, history_turns, history_tokens, system_share
+        self.turns: list[tuple[str, str]] = []
+        self.prefix = [0]  # tokens of the turns before each
+        self.start = self.windows = 0  # the first new turn, and windows so far
+        self.system: tuple[str, str] | None = None
+        self.system_tokens = self.leads = 0  # leads: whether the first turn held is the system turn
+
+    def add(self, role: str, text: str, tokens: int) -> None:
+        if not self.turns and not self.windows and role == "system":
+            self.system, self.system_tokens, self.leads = (role, text), tokens, 1
+        self.turns.append((role, text))
+        self.prefix.append(self.prefix[-1] + tokens)
+
+    def take(self, final: bool) -> Iterator[tuple[list[tuple[bool, str, str]], int]]:
+        """The windows that are settled, each as turns and tokens; with `final`, all that is left."""
+        prefix = self.prefix
+        while self.start < len(self.turns):
+            start, room, repeated = self.start, self.budget, []
+            own = prefix[start + 1] - prefix[start]
+            if self.windows:
+                if self.system and self.system_tokens <= self.system_share * self.budget and self.system_tokens + own <= room:
+                    repeated, room = [self.system], room - self.system_tokens
+                # The first window starts with the system turn, which history leaves out.
+                oldest = max(start - self.history_turns, self.leads)
+                past = bisect_left(prefix, prefix[start] - max(0, min(self.history_tokens, room - own)), oldest, start) if oldest < start else start
+                repeated, room = repeated + self.turns[past:start], room - (prefix[start] - prefix[past])
+            end = max(start + 1, bisect_right(prefix, prefix[start] + room) - 1)
+            if end == len(self.turns) and not final:
+                break
+            yield [(True, *t) for t in repeated] + [(False, *t) for t in self.turns[start:end]], self.budget - room + prefix[end] - prefix[start]
+            self.windows += 1
+            self.start = end
+        self._forget()
+
+    def _forget(self) -> None:
+        gone = self.start - self.history_turns
+        if gone > 0:
+            self.turns, self.prefix, self.start, self.leads = self.turns[gone:], self.prefix[gone:], self.start - gone, 0
 
 
 def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -150,20 +168,38 @@ def format_chats(turns: DataFrame, tokenizer_path: str | None = None, budget: in
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path is None:
-            cost = lambda text: len(text.split())
+            costs = lambda texts: np.fromiter((len(t.split()) for t in texts.to_pylist()), np.int64, len(texts))
         else:
-            from evisim.llm.packing import encoder
+            from evisim.llm.packing import encoder, slices
 
             encode = encoder(tokenizer_path).encode
-            cost = lambda text: int(encode(pa.array([text]))[1][0])
+
+            def costs(texts: pa.Array) -> np.ndarray:
+                parts = slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0)
+                return np.concatenate([encode(p.column(0))[1] for p in parts])
+
+        def shown(conv: object, held: Conversation, final: bool) -> Iterator[tuple]:
+            first = held.windows
+            for k, (window, tokens) in enumerate(held.take(final)):
+                text, spans = render(window)
+                again = sum(a for a, _, _ in window)
+                yield conv, first + k, len(window) - again, again, tokens, text, spans
 
         def rows() -> Iterator[tuple]:
-            for conv, part in _by_first(_rows(it)):
-                texts = ((r or "", t or "") for _, _, r, t in part)
-                for k, (window, tokens) in enumerate(windows_of(texts, cost, budget, history_turns, history_tokens)):
-                    text, spans = render(window)
-                    again = sum(a for a, _, _ in window)
-                    yield conv, k, len(window) - again, again, tokens, text, spans
+            conv, held = None, None
+            for batch in it:
+                texts = pc.fill_null(batch.column(3), "")
+                tokens = costs(texts) + TURN_TOKENS if batch.num_rows else ()
+                for c, role, text, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts.to_pylist(), tokens, strict=True):
+                    if held is None or c != conv:
+                        if held is not None:
+                            yield from shown(conv, held, True)
+                        conv, held = c, Conversation(budget, history_turns, history_tokens)
+                    held.add(role or "", text, int(n))
+                if held is not None:
+                    yield from shown(conv, held, False)
+            if held is not None:
+                yield from shown(conv, held, True)
 
         yield from _out(rows(), _WINDOW_ARROW)
 

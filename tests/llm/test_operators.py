@@ -67,7 +67,7 @@ def test_chat_round_trip(spark):
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert got[c].formatted_chars == sum(len(w.text) for w in held if w.conv_id == c)
     long = sorted((w for w in held if w.conv_id == 8), key=lambda w: w.window)
-    assert len(long) > 5 and all(w.tokens <= 200 or w.n_new == 1 for w in long) and any(w.n_repeated for w in long)
+    assert len(long) > 5 and all(w.tokens <= 200 for w in long) and any(w.n_repeated for w in long)
 
 
 def test_chat_keeps_system_turn_and_is_reversible(spark):
@@ -83,6 +83,44 @@ def test_chat_keeps_system_turn_and_is_reversible(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def slow_windows(turns, budget, history_turns, history_tokens):
+    """(new turns, repeated turns, tokens) by trying every end and every beginning of history."""
+    out, start = [], 0
+    cost = [len(t.split()) + 8 for _, t in turns]
+    while start < len(turns):
+        again, room = [], budget
+        if start:
+            if turns[0][0] == "system" and cost[0] <= 0.5 * budget and cost[0] + cost[start] <= room:
+                again, room = [turns[0]], room - cost[0]
+            low = max(start - history_turns, int(turns[0][0] == "system"))
+            past = min((k for k in range(low, start) if sum(cost[k:start]) <= min(history_tokens, room - cost[start])), default=start)
+            again, room = again + turns[past:start], room - sum(cost[past:start])
+        end = max([start + 1] + [e for e in range(start + 1, len(turns) + 1) if sum(cost[start:e]) <= room])
+        out.append((end - start, len(again), budget - room + sum(cost[start:end])))
+        start = end
+    return out
+
+
+def test_chat_budget_is_hard(spark):
+    from evisim.llm.chat import format_chats
+
+    r, rows, convs = random.Random(12), [], {}
+    for c in range(40):
+        turns = [("system", prose(c, r.choice((3, 60, 120))))] if c % 3 else []
+        turns += [(("user", "assistant")[k % 2], prose(100 * c + k, r.choice((1, 20, 60, 92, 140)))) for k in range(r.randrange(1, 25))]
+        convs[c] = turns
+        rows += [(c, k, role, text) for k, (role, text) in enumerate(turns)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # conversations go on from batch to batch
+    try:
+        got = format_chats(df, budget=100, history_turns=3, history_tokens=50).orderBy("conv_id", "window").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c, turns in convs.items():
+        assert [(w.n_new, w.n_repeated, w.tokens) for w in got if w.conv_id == c] == slow_windows(turns, 100, 3, 50)
+    assert all(w.tokens <= 100 or (w.n_new == 1 and not w.n_repeated) for w in got) and any(w.n_repeated > 1 for w in got)
+
+
 # 2 exact dedup
 
 
@@ -414,7 +452,7 @@ def test_fuzzy_recall_with_letters_changed_all_over(spark):
 
 
 def test_blocks_find_every_near_fingerprint():
-    from evisim.llm.line_dedup import choices
+    from evisim.llm.blocks import choices
 
     r = random.Random(6)
     for n, distance in ((100, 3), (1 << 26, 3), (1 << 36, 3), (1000, 2)):
