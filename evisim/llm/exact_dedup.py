@@ -3,14 +3,17 @@
 `build_index` maps every distinct digest of the history to a slot of its shard. A shard is one row: the bit levels of a
 minimal perfect hash, and by slot the full digest, the winner's locator (its doc_id) and the rows behind it. `lookup` finds
 the slot of a digest and compares all of its bytes with the slot's digest, so a digest that isn't a member is never taken
-for one. `assign` gives members the winner of their slot and groups nonmembers among themselves.
+for one. `assign` gives members the winner of their slot and groups nonmembers among themselves. A table by itself is deduped so
+(`winners`): the rows up to the middle doc_id are the history, the later ones are looked up, a slot's group grows by the members found, and
+nonmembers form groups of their own.
 
 Shards hold about SHARD_KEYS keys and are addressed by the digest's leading bits, which are even by nature, so neither side
 is skewed: only distinct digests are looked up, and copies meet again in a join that Spark can split.
 
 Null texts count as empty. The largest doc_id of equal texts stays; null doc_ids lose to any other. Rows with the winner's
 doc_id count as that document and are all marked kept; `drop_repeats` leaves one of them. It removes rows by doc_id and text, so
-rows of one doc_id with different texts are judged each by itself. Extra columns pass through it.
+rows of one doc_id with different texts are judged each by itself. Rows without a doc_id are documents like others: of texts that
+only such rows have, one stays. Extra columns pass through, texts of any length are read whole, an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -146,13 +149,30 @@ def assign(digests: DataFrame, index: DataFrame, shards: int, distinct: DataFram
     return merged.select("digest", pick("winner", "w2").alias("winner"), pick("size", "s2").alias("size"), "member")
 
 
+def winners(digests: DataFrame) -> DataFrame:
+    """digest, winner, size, winner_rows (rows with the winner's doc_id) of every distinct digest of digests(doc_id, digest), a written table."""
+    low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
+    middle = 0 if low is None else (low + high) // 2
+    old = staged(distinct_digests(digests.filter(F.col("doc_id") <= middle)), "dedup-history")
+    new = staged(distinct_digests(digests.filter(~F.coalesce(F.col("doc_id") <= middle, F.lit(False)))), "dedup-later")
+    index, shards = build_index(old)
+    found = lookup(new, index, shards).select(F.col("digest").alias("d"), F.col("winner").alias("w"), F.col("size").alias("s"), "member")
+    judged = staged(new.join(found, F.col("digest") == F.col("d")).drop("d"), "dedup-judged")
+    # Later rows have larger doc_ids, or none: then the slot's winner stays.
+    grown = judged.select("digest", F.coalesce("winner", "w").alias("winner"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), F.when(F.col("winner").isNull() & F.col("member"), F.lit(None)).otherwise(F.col("winner_rows")).alias("winner_rows"), F.col("winner").isNull().alias("old"))
+    members = judged.filter("member").select(F.col("digest").alias("d"))
+    untouched = old.join(members, F.col("digest") == F.col("d"), "left_anti")
+    rows = old.select(F.col("digest").alias("d"), F.col("winner_rows").alias("r"))
+    kept = grown.filter("old").join(rows, F.col("digest") == F.col("d"), "left").select("digest", "winner", "size", F.coalesce("r", "winner_rows").alias("winner_rows"))
+    columns = ["digest", "winner", "size", "winner_rows"]
+    return staged(untouched.select(columns).unionByName(grown.filter("NOT old").select(columns)).unionByName(kept), "dedup-winners")
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, keep_id, group_size, kept of every row of docs, itself the history."""
+    """doc_id, digest, keep_id, group_size, kept of every row of docs."""
     digests = staged(digests_of(docs), "dedup-digests")
-    distinct = staged(distinct_digests(digests), "dedup-distinct")
-    index, shards = build_index(distinct)
-    winners = staged(assign(digests, index, shards, distinct), "dedup-winners").select(F.col("digest").alias("d"), "winner", "size")
-    joined = digests.join(winners, F.col("digest") == F.col("d"))
+    best = winners(digests).select(F.col("digest").alias("d"), "winner", "size")
+    joined = digests.join(best, F.col("digest") == F.col("d"))
     return joined.select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"))
 
 
@@ -165,15 +185,13 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another kept row has; one row stays of those that share doc_id and text."""
     digests = staged(digests_of(docs), "dedup-digests")
-    distinct = staged(distinct_digests(digests), "dedup-distinct")
-    index, shards = build_index(distinct)
-    winners = staged(assign(digests, index, shards, distinct), "dedup-winners").select(F.col("digest").alias("d"), "winner")
-    other = (F.col("digest") == F.col("d")) & ~F.col("doc_id").eqNullSafe(F.col("winner"))
-    lost = digests.join(winners, other).select("doc_id", "digest").distinct()
+    best = winners(digests)
+    own = best.select(F.col("digest").alias("d"), "winner")
+    lost = digests.join(own, (F.col("digest") == F.col("d")) & ~F.col("doc_id").eqNullSafe(F.col("winner"))).select("doc_id", "digest").distinct()
     kept = without(docs, staged(lost, "dedup-lost"))
     # Without any doc_id but null there is no winner's row count: these digests' sizes say how often they come.
     rows = F.coalesce("winner_rows", F.when(F.col("winner").isNull(), F.col("size")))
-    return once_each(kept, staged(distinct.filter(rows > 1).select(F.col("winner").alias("doc_id"), "digest"), "dedup-twice"))
+    return once_each(kept, staged(best.filter(rows > 1).select(F.col("winner").alias("doc_id"), "digest"), "dedup-twice"))
 
 
 def once_each(docs: DataFrame, twice: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ its size, and each document comes floor(rate) times and once more with the fract
 doc_id and the seed, so that reruns and retried tasks agree.
 
 Null texts have size 0 and null sources are a source of their own, sorted last. A source without words has target 0. Repeated
-rows of a doc_id draw alike. Extra columns pass through `mix`.
+rows of a doc_id draw alike. Texts of any length count whole; an empty table has no sources and gives no rows. Extra columns pass
+through `mix`, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,13 +3,15 @@
 A document's ids are cut into pieces only if they exceed a sequence. A piece needs tokens, a place among the sequence's
 documents, and attention cost (its length squared); a sequence has a capacity of each. Pieces go by falling length; of the open
 sequences with room in every dimension the one is taken that leaves the smallest weighted residual norm ("norm") or has
-the largest weighted dot product of residual and need ("dot"), else a new one is opened.
+the largest weighted dot product of residual and need ("dot"), the oldest of equals, else a new one is opened. A piece whose
+attention cost exceeds the capacity by itself has a sequence of its own; one with too many tokens is an error.
 
 Pieces are dealt by a hash to groups of about GROUP, each packed by itself: a group leaves no more than its last sequences
 partly filled, and any number of groups run at once. Ids don't move: tokenising keeps their place, length and CRC, and
 `sequence_ids` joins them on where the ids themselves are wanted.
 
-Null and empty texts are the end-of-document id alone. Repeated rows are packed as often as they come.
+Null and empty texts are the end-of-document id alone, texts of any length are cut, pieces of equal length go by their order in
+the table, repeated rows are packed as often as they come, and an empty table gives no pieces. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from evisim.llm.staging import staged
 CAPACITY = 4096
 END = 1
 GROUP = 8192
+#: Documents and attention cost (as a part of the square of the tokens) of a sequence, and weights of tokens, documents, attention.
+DOCUMENTS, ATTENTION, WEIGHTS = 64, 0.9, (1.0, 1.0, 1.0)
 #: Words that a worker remembers; at that number it forgets all.
 WORDS = 500_000
 #: Bytes of text, more or less, that are split and gathered at once.
@@ -153,51 +157,55 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def best_fit(lengths: np.ndarray, capacities: Sequence[float], weights: Sequence[float] = (1.0, 0.0, 0.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, capacities: Sequence[float], weights: Sequence[float] = WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """The bin and the offset in it of each piece of lengths. capacities and weights: of tokens, documents, attention cost."""
     if rule not in ("norm", "dot"):
         raise ValueError("rule has to be norm or dot")
     lengths = np.asarray(lengths, np.int64)
     caps, w = np.asarray(capacities, float), np.asarray(weights, float)
+    if len(lengths) and lengths.max() > caps[0]:
+        raise ValueError("a piece exceeds a sequence by itself")
     need = np.stack([lengths, np.ones_like(lengths), lengths**2], axis=1).astype(float)
-    if len(need) and (need.max(axis=0) > caps).any():
-        raise ValueError("a piece exceeds a capacity by itself")
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    left = np.zeros((max(16, len(lengths)), 3))  # of open bins, in places 0..n_open
+    left = np.zeros((max(16, len(lengths)), 3))  # of open bins by age, in places 0..n_open
     name = np.zeros(len(left), np.int64)
     n_open = n_bins = 0
+    scale = w / caps**2
     for i in np.argsort(-lengths, kind="stable"):
         q, at = need[i], -1
         if n_open:
             room = left[:n_open]
-            fits = (room >= q).all(axis=1)
-            if fits.any():
-                scaled = room / caps
-                score = (((room - q) / caps) ** 2) @ w if rule == "norm" else -((scaled * (q / caps)) @ w)
-                at = int(np.argmin(np.where(fits, score, np.inf)))
+            fits = np.flatnonzero((room[:, 0] >= q[0]) & (room[:, 1] >= q[1]) & (room[:, 2] >= q[2]))
+            if len(fits):
+                score = (room[fits] - q) ** 2 @ scale if rule == "norm" else -(room[fits] @ (q * scale))
+                at = int(fits[np.argmin(score)])
         if at < 0:
+            if q[2] > caps[2]:  # alone, whatever room there is
+                bins[i], n_bins = n_bins, n_bins + 1
+                continue
             at, n_open = n_open, n_open + 1
             left[at], name[at] = caps, n_bins
             n_bins += 1
         bins[i], offsets[i] = name[at], int(caps[0] - left[at, 0])
         left[at] -= q
-        if left[at, 0] < 1 or left[at, 1] < 1:  # nothing fits any more: the last open bin takes its place
+        if (left[at] < 1).any():  # nothing fits any more; the others keep their order
             n_open -= 1
-            left[at], name[at] = left[n_open], name[n_open]
+            left[at:n_open], name[at:n_open] = left[at + 1 : n_open + 1].copy(), name[at + 1 : n_open + 1].copy()
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int | None = None, attention: float | None = None, weights: Sequence[float] = (1.0, 0.0, 0.0), rule: str = "norm", group: int = GROUP) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int = DOCUMENTS, attention: float = ATTENTION, weights: Sequence[float] = WEIGHTS, rule: str = "norm", group: int = GROUP) -> DataFrame:
     """pieces (a written table with doc_id, piece, length and more) with sequence_id and offset.
 
-    Without bounds on documents and attention cost these have the values that tokens imply, which never bind.
+    attention: the capacity of attention cost, as a part of the capacity squared.
     """
-    caps = (float(capacity), float(documents or capacity), float(attention or capacity**2))
+    caps = (float(capacity), float(documents), attention * capacity**2)
     groups = max(1, -(-pieces.count() // group))
     fields = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
     names = [f.name for f in fields]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__m")  # the same in a task that runs again
         bins, offsets = best_fit(pdf["length"].to_numpy(), caps, weights, rule)
         out = pdf[names].copy()
         out["sequence_id"] = int(pdf["__g"].iloc[0]) * (1 << 32) + bins
@@ -206,7 +214,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int | None = No
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
     # The row's place in the written table tells repeated rows apart, and is the same in a task that runs again.
-    dealt = pieces.select(*names, F.monotonically_increasing_id().alias("__m")).withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece", "__m"), F.lit(groups))).drop("__m")
+    dealt = pieces.select(*names, F.monotonically_increasing_id().alias("__m")).withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece", "__m"), F.lit(groups)))
     return dealt.groupBy("__g").applyInPandas(run, schema)
 
 

@@ -5,7 +5,7 @@
 `ablation` gets what each rule of a policy changes from one bitwise aggregation.
 
 Null and empty texts have no words: every measurement is 0 and the rules on word counts fail them. Repeated rows are judged
-alike, each on its own. Extra columns pass through; those named like a measurement, `bits` or `kept` are replaced.
+alike, each on its own. Texts of any length are measured whole; an empty table gives an empty one. Extra columns pass through; those named like a measurement, `bits` or `kept` are replaced.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -67,7 +69,10 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evisim.llm.pii import pseudonymise
 
-    key = spark.conf.get("spark.evisim.pii.key", "demonstration key, not a secret")
+    key = spark.conf.get("spark.evisim.pii.secret", None)  # a name that Spark redacts
+    if not key:
+        warnings.warn("spark.evisim.pii.secret isn't set: pseudonyms are made with a public key", stacklevel=2)
+        key = "demonstration key, not a secret"
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 

@@ -3,18 +3,22 @@
 A text's fingerprint is the bitwise majority of the hashes of its word shingles. Two fingerprints link when they differ in
 `distance` bits or fewer, and groups are the connected components of links.
 
-Search. Fingerprints are cut into BLOCKS blocks of 16 bits. Two that link agree up to floor(distance / BLOCKS) bits in one
-block at least, so each block has a vantage-point tree of its own: a node splits the block's values by their Hamming distance
-to a vantage value at the weighted median, and a search of that small radius prunes a side by the triangle bound or, at a
-boundary, visits both. A block has no more than 65,536 values, so the counts that balance a tree are exact and of bounded
-size, and a tree is a table from value to shards. (Over all 64 bits distances gather around 32 and a search of radius 3
-crosses most boundaries: copies grow as the input to the power 1.7. By blocks they don't grow for radius 0.)
-A fingerprint is a member of one shard of each tree and visits the shards that its boundary overlaps. In a shard a second
-vantage-point tree, over all 64 bits, prunes by the triangle bound, and every pair that is left is compared. A shard returns
-no pairs: only a link from each member to the smallest of its group there, which keeps the components and is linear in its rows.
+Search. Fingerprints are cut into blocks, and two that link agree in some of them. Up to 3 bits (`distance` below BLOCKS): of m
+blocks m - distance agree, so fingerprints meet by every choice of so many blocks, and m grows with their number, so that a
+value of a choice is shared by a bounded number of them however many there are (`blocks.choices`). Beyond: with BLOCKS blocks of 16
+bits, one block differs in floor(distance / BLOCKS) bits at most, so each block has a vantage-point tree over its values: a node splits
+them by their Hamming distance to a vantage value at the weighted median, and a search of that small radius prunes
+a side by the triangle bound or, at a boundary, visits both. (A tree over all 64 bits alone would not do: distances gather around 32, a
+search of radius 3 crosses most boundaries, and copies grow as the input to the power 1.7.)
+Values are dealt to shards of about SHARD_KEYS. In a shard a vantage-point tree over all 64 bits prunes the pairs of
+a value by the triangle bound, both sides at a boundary, and every pair that is left is compared. A shard returns no pairs: only a link from
+each member to the smallest of its group there, which keeps the components and is linear in its rows.
 
 Null, empty and white-space texts have fingerprint zero, which links like any other. Rows with null doc_id are fingerprinted
-and linked; a component's id is its smallest doc_id that isn't null. Repeated rows come out as often as they came in.
+and linked; a component's id is its smallest doc_id that isn't null. Repeated rows come out as often as they came in, very long
+texts are fingerprinted whole, an empty table gives an empty one. `near_groups` leaves extra columns out. `drop_near` goes by doc_id
+and text: rows of one doc_id with other texts, and rows without one, are judged each by itself, rows equal in both stay once, and
+extra columns pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from evisim.llm.blocks import choices, signed
 from evisim.llm.components import components
 from evisim.llm.exact_dedup import once_each, without
 from evisim.llm.staging import staged
@@ -144,6 +149,31 @@ def _links(fps: np.ndarray, own: np.ndarray, distance: int) -> np.ndarray:
 
 def links(nodes: DataFrame, distance: int = DISTANCE, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """a, b: links that leave the components of all links. nodes(fp), distinct, a written table."""
+    return _links_by_choices(nodes, distance, shard_keys) if distance < BLOCKS else _links_by_trees(nodes, distance, shard_keys)
+
+
+def _links_by_choices(nodes: DataFrame, distance: int, shard_keys: int) -> DataFrame:
+    n = nodes.count()
+    masks = choices(n, distance)
+    shards = max(1, -(-n * len(masks) // shard_keys))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for k, m in enumerate(masks)])
+    rows = nodes.select("fp", F.explode(places).alias("p")).select(F.pmod(F.xxhash64("p.k", "p.v"), F.lit(shards)).alias("shard"), "p.k", "p.v", "fp")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["k", "v", "fp"])
+        k, v, fps = (pdf[c].to_numpy() for c in ("k", "v", "fp"))
+        cuts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])]))
+        label = np.arange(len(fps))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(fps)], strict=True):
+            if b - a > 1:
+                label[a:b] = a + _links(fps[a:b].view(np.uint64), np.ones(b - a, bool), distance)
+        moved = label != np.arange(len(label))
+        return pd.DataFrame({"a": fps[label[moved]], "b": fps[moved]})
+
+    return rows.groupBy("shard").applyInPandas(search, "a long, b long")
+
+
+def _links_by_trees(nodes: DataFrame, distance: int, shard_keys: int) -> DataFrame:
     radius = distance // BLOCKS
     blocks = F.array(*[F.shiftrightunsigned("fp", BITS * b).bitwiseAND(F.lit(0xFFFF)) for b in range(BLOCKS)])
     counted = nodes.select(F.posexplode(blocks).alias("b", "v")).groupBy("b", "v").count().collect()  # 4 x 65,536 rows at most

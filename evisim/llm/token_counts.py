@@ -5,7 +5,8 @@ made, the best forward score of its prefix follows from those of its ancestors,
 once, and a word's terminal node has its number of tokens. Characters outside the vocabulary fall back to their bytes.
 
 A worker keeps its trie from batch to batch and starts a new one at NODES nodes; counts don't depend on that. Nothing is
-shuffled. Null, empty and white-space texts have no tokens. Repeated rows are counted each; extra columns are left out.
+shuffled. Null, empty and white-space texts have no tokens, texts of any length are counted whole, repeated rows are counted each, an
+empty table gives an empty one; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BYTE_PENALTY = 10.0
 
 
 def ranked_pieces(model_path: str) -> list[tuple[str, float]]:
-    """Pieces of a SentencePiece file with scores by Zipf's law over their rank: -ln(rank + 1)."""
+    """Pieces of a SentencePiece file with scores by Zipf's law over their rank from 0: -ln(rank + 2)."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)

@@ -11,11 +11,14 @@ group the pages, and pages meet their record's type by page_id and digest.
 A task writes a bundle under a name of its own and renames it when it is whole, to a name that follows from its partition, its
 number there and its content: bundles of equal bytes are files of their own, and a task that runs again writes the same bytes to
 the same name. Files go where Spark's shared folder is, by the file
-system that its URI names, and are read back by Spark.
+system that its URI names. Reading deals the names of bundles, not their contents: a task opens a bundle, reads its footer, and then
+one frame at a time, so it holds a frame however large the bundle is; `lookup` reads footers and the frames wanted. A response's
+payload is hashed again as it is read, and a record whose digest or size isn't that of its header is an error.
 
 Null html counts as empty. Null urls give records without a target URI; control characters and spaces in urls are
 percent-encoded. Repeated page_ids with one payload: all rows with the winner's page_id are responses. Null page_ids are
-written as empty identifiers and lose to any other. Extra columns are left out.
+written as empty identifiers and lose to any other. Very long payloads are a frame of their own; an empty table gives no bundles
+and no records. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -131,13 +134,24 @@ def frames_of(data: bytes) -> list[tuple[int, int, int]]:
 
 def records_of(data: bytes) -> list[tuple[str, int, int, int]]:
     """(record identifier, frame, start, length) of each record, from the record table."""
+    return _record_table(data[sum(c for _, c, _ in frames_of(data)) :])
+
+
+def _record_table(data: bytes) -> list[tuple[str, int, int, int]]:
+    """Records by the record table that data begins with."""
     import zstandard
 
-    at = sum(c for _, c, _ in frames_of(data))
-    magic, size = struct.unpack_from("<II", data, at)
+    magic, size = struct.unpack_from("<II", data)
     if magic != SKIPPABLE_RECORDS:
         raise ValueError("no record table")
-    return [tuple(x) for x in json.loads(zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size]))]
+    return [tuple(x) for x in json.loads(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))]
+
+
+def _store(folder: str):
+    """The file system of a folder's URI, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
 
 
 def read_one(data: bytes, frame: int, start: int, length: int) -> bytes:
@@ -167,11 +181,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, frame_bytes: i
     """Writes the bundles to folder (a URI) and returns a written table of ENTRY: where each record is."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
 
         def finish(bundle: Bundle) -> pa.RecordBatch:
@@ -200,53 +213,95 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, frame_bytes: i
     return staged(typed_pages(pages, least).mapInArrow(run, ENTRY), "warc-index")
 
 
+class BundleFile:
+    """A bundle in the archive's folder, of which only the parts asked for are read."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        store, base = _store(folder)
+        self.file = store.open_input_file(f"{base}/{name}")
+        size = self.file.size()
+        n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
+        width = 12 if flags & 0x80 else 8
+        seek = self._at(size - 9 - width * n - 8, width * n + 17)
+        self.frames = frames_of(seek)
+        self.records_at = sum(c for _, c, _ in self.frames)
+        self.seek_at = size - len(seek)
+
+    def _at(self, place: int, size: int) -> bytes:
+        self.file.seek(place)
+        return self.file.read(size)
+
+    def records(self) -> list[tuple[str, int, int, int]]:
+        return _record_table(self._at(self.records_at, self.seek_at - self.records_at))
+
+    def frame(self, i: int) -> bytes:
+        import zstandard
+
+        at, c, d = self.frames[i]
+        return zstandard.ZstdDecompressor().decompress(self._at(at, c), max_output_size=d)
+
+    def __enter__(self) -> BundleFile:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+
 def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """RECORD of every record of the bundles that index names; a revisit's payload is null."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         number = lambda text: int(text) if text else None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in it:
-            for content in batch.column(0):
-                data = content.as_py()
-                frames, decompressor = frames_of(data), zstandard.ZstdDecompressor()
-                by_frame: dict[int, list[tuple[int, int]]] = {}
-                for _, f, start, length in records_of(data):
-                    by_frame.setdefault(f, []).append((start, length))
-                for f, (at, c, d) in enumerate(frames):
-                    plain = decompressor.decompress(data[at : at + c], max_output_size=d)
-                    cols: list[list] = [[] for _ in range(7)]
-                    for start, length in by_frame.get(f, ()):
-                        r = parse_record(plain[start : start + length])
-                        revisit = r["WARC-Type"] == "revisit"
-                        row = (number(r["WARC-Record-ID"][len(IDENTIFIER) + 1 : -1]), r["payload_bytes"], r["WARC-Payload-Digest"].removeprefix("sha1:"), r["WARC-Type"], number(r["WARC-Refers-To"][len(IDENTIFIER) + 1 : -1]) if revisit else None, r.get("WARC-Target-URI"), None if revisit else r["payload"])
-                        for col, v in zip(cols, row, strict=True):
-                            col.append(v)
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
+            for name in batch.column(0).to_pylist():
+                with BundleFile(folder, name) as bundle:
+                    by_frame: dict[int, list[tuple[int, int]]] = {}
+                    for _, f, start, length in bundle.records():
+                        by_frame.setdefault(f, []).append((start, length))
+                    for f, places in by_frame.items():
+                        plain = bundle.frame(f)
+                        cols: list[list] = [[] for _ in kinds]
+                        for start, length in places:
+                            r = parse_record(plain[start : start + length])
+                            revisit, digest = r["WARC-Type"] == "revisit", r["WARC-Payload-Digest"].removeprefix("sha1:")
+                            if not revisit and (base32_sha1(r["payload"]) != digest or len(r["payload"]) != r["payload_bytes"]):
+                                raise ValueError(f"the payload of {r['WARC-Record-ID']} in {name} isn't what its header says")
+                            row = (number(r["WARC-Record-ID"][len(IDENTIFIER) + 1 : -1]), r["payload_bytes"], digest, r["WARC-Type"], number(r["WARC-Refers-To"][len(IDENTIFIER) + 1 : -1]) if revisit else None, r.get("WARC-Target-URI"), None if revisit else r["payload"])
+                            for col, v in zip(cols, row, strict=True):
+                                col.append(v)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
     names = index.select("bundle").distinct()
-    if names.isEmpty():
-        return spark.createDataFrame([], RECORD)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content", F.element_at(F.split("path", "/"), -1).alias("name"))
-    return files.join(names, F.col("name") == F.col("bundle"), "left_semi").select("content").mapInArrow(run, RECORD)
+    return names.repartition(_readers(spark, names.count()), "bundle").mapInArrow(run, RECORD)
+
+
+def _readers(spark: SparkSession, bundles: int) -> int:
+    """Tasks that read bundles: one for each, up to many to a task."""
+    return max(1, min(bundles, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def lookup(spark: SparkSession, folder: str, index: DataFrame, record_ids: DataFrame) -> DataFrame:
-    """record_id, data of record_ids(record_id): the frames that hold them are decompressed, no others."""
+    """record_id, data of record_ids(record_id): the frames that hold them are read, no others."""
     wanted = index.join(record_ids.select(F.col("record_id").alias("w")).distinct(), F.col("record_id") == F.col("w"), "left_semi")
-    by_bundle = wanted.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "start", "length")).alias("places"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content", F.element_at(F.split("path", "/"), -1).alias("name"))
+    wanted = staged(wanted.select("bundle", "frame", "start", "length", "record_id"), "warc-wanted")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, opened, at, plain = None, None, None, b""
         for batch in it:
-            for content, places in zip(*batch.columns, strict=True):
-                data = content.as_py()
-                found = [(p["record_id"], read_one(data, p["frame"], p["start"], p["length"])) for p in places.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.binary())], names=["record_id", "data"])
-
-    return files.join(by_bundle, F.col("name") == F.col("bundle")).select("content", "places").mapInArrow(run, "record_id string, data binary")
+            out = []
+            for name, frame, start, length, record_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != opened:
+                    if bundle is not None:
+                        bundle.file.close()
+                    bundle, opened, at = BundleFile(folder, name), name, None
+                if frame != at:
+                    at, plain = frame, bundle.frame(frame)
+                out.append((record_id, plain[start : start + length]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["record_id", "data"])
+
+    places = wanted.repartition(_readers(spark, wanted.select("bundle").distinct().count()), "bundle").sortWithinPartitions("bundle", "frame", "start")
+    return places.mapInArrow(run, "record_id string, data binary")
 
 
 def archive_folder(spark: SparkSession) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import random
 import re
@@ -232,6 +233,26 @@ def test_tree_links_keep_components(spark, distance, keys):
     assert [got.get(f, f) for f in signed] == [signed[k] for k in want]
 
 
+def test_links_with_more_blocks(spark, monkeypatch):
+    from evisim.llm import blocks, simhash_dedup
+    from evisim.llm.components import components
+    from evisim.llm.staging import staged
+
+    monkeypatch.setattr(simhash_dedup, "choices", lambda n, d: blocks.choices(1 << 33, d))
+    assert len(blocks.choices(1 << 33, 3)) == 20
+    r, fps = random.Random(2), []
+    for _ in range(40):
+        f = r.getrandbits(64)
+        for _ in range(6):
+            fps.append(f)
+            for b in r.sample(range(64), r.randrange(1, 5)):
+                f ^= 1 << b
+    signed = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
+    got = {x.node: x.root for x in components(simhash_dedup.links(staged(spark.createDataFrame([(f,) for f in signed], "fp long"), "t"))).collect()}
+    want = slow_components(signed, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    assert [got.get(f, f) for f in signed] == [signed[k] for k in want] and len(set(want)) < len(signed)
+
+
 def test_shard_search_prunes_without_loss():
     from evisim.llm.simhash_dedup import _links
 
@@ -340,6 +361,97 @@ def test_feistel_is_a_permutation(spark):
     assert all(r.b == r.d and len(r.p) == len(r.d) for r in wide)
 
 
+class SlowPii:
+    """Pseudonyms one value at a time, from the definition."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def prf(self, kind, size, r, half):
+        return int(hashlib.sha256(f"{self.key}|{kind}|{size}|{r}|{half}".encode()).hexdigest()[:15], 16)
+
+    def feistel(self, kind, a, b, na, nb, size):
+        for r in range(1, 9):
+            n = na if r % 2 else nb
+            a, b = b, (a + self.prf(kind, size, r, b) % n) % n
+        return a, b
+
+    def digits(self, kind, d):
+        u = len(d) // 2
+        a, b = self.feistel(kind, int(d[:u] or 0), int(d[u:]), 10**u, 10 ** (len(d) - u), len(d))
+        return f"{a:0{u}d}{b:0{len(d) - u}d}"
+
+    def card(self, d):
+        p = self.digits("card", d[:-1])
+        return next(p + c for c in "0123456789" if luhn(p + c))
+
+    def ssn(self, d):
+        while True:
+            d = self.digits("ssn", d)
+            if d[:3] not in ("000", "666") and d < "9" and d[3:5] != "00" and d[5:] != "0000":
+                return d
+
+    def ip(self, o):
+        a, b = self.feistel("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "32")
+        return ".".join(str(x) for x in (a // 256, a % 256, b // 256, b % 256))
+
+    def date(self, y, m, d):
+        m0, mn, d0, dn = (1, 9) + ((1, 9) if d < 10 else (10, 22)) if m < 10 else (10, 3) + ((1, 9) if d < 10 else (10, 22))
+        v = ((y - 1700) * mn + m - m0) * dn + d - d0
+        while True:
+            a, b = self.feistel("date", v // (20 * dn), v % (20 * dn), 20 * mn, 20 * dn, f"{m0}.{d0}")
+            v = a * 20 * dn + b
+            try:
+                return datetime.date(v // (mn * dn) + 1700, v // dn % mn + m0, v % dn + d0)
+            except ValueError:
+                continue
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    from evisim.llm.pii import KEY, pseudonymise
+
+    r, slow, rows, want = random.Random(7), SlowPii("k|1"), [], []
+    for _ in range(150):
+        d = "".join(r.choice("0123456789") for _ in range(15))
+        d += next(c for c in "0123456789" if luhn(d + c))
+        rows.append(f"c {d}")
+        want.append(f"c {slow.card(d)}")
+        d = f"{r.randrange(1, 666):03d}{r.randrange(1, 100):02d}{r.randrange(1, 10000):04d}"
+        n = slow.ssn(d)
+        rows.append(f"{d[:3]}-{d[3:5]}-{d[5:]}")
+        want.append(f"{n[:3]}-{n[3:5]}-{n[5:]}")
+        o = [r.randrange(256) for _ in range(4)]
+        rows.append(f"ip {o[0]}.{o[1]}.{o[2]}.{o[3]} x")
+        want.append(f"ip {slow.ip(o)} x")
+        day = datetime.date(1700, 1, 1) + datetime.timedelta(r.randrange(146_097))
+        n = slow.date(day.year, day.month, day.day)
+        rows.append(f"{day} {day:%d.%m.%Y} {day.day}/{day.month}/{day.year}")
+        want.append(f"{n} {n:%d.%m.%Y} {n.day}/{n.month}/{n.year}")
+        d = "".join(r.choice("0123456789") for _ in range(10))
+        n = slow.digits("phone", d)
+        rows.append(f"+49 {d[:3]} {d[3:6]} {d[6:]}")
+        want.append(f"+49 {n[:3]} {n[3:6]} {n[6:]}")
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(rows)], f"doc_id long, text string, __pii int, {KEY} int")
+    out = pseudonymise(docs, "k|1")
+    plan = out._jdf.queryExecution().toString()
+    got = [x.text for x in out.orderBy("doc_id").collect()]
+    assert got == want and all(len(a) == len(b) for a, b in zip(rows, got, strict=True) if "ip" not in a)
+    assert "k|1" not in plan and out.columns == ["doc_id", "text", "__pii", KEY, "n_pii"]
+    with pytest.raises(ValueError):
+        pseudonymise(docs, "")
+
+
+def test_dates_are_permuted_within_their_width(spark):
+    from evisim.llm.pii import pseudonymise
+
+    days = [datetime.date(1992, 1, 1) + datetime.timedelta(k) for k in range(3000)]
+    got = [x.text for x in pseudonymise(spark.createDataFrame([(i, str(d)) for i, d in enumerate(days)], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    moved = [datetime.date.fromisoformat(x) for x in got]
+    assert len(set(moved)) == len(days) and all((a.month < 10, a.day < 10) == (b.month < 10, b.day < 10) for a, b in zip(days, moved, strict=True))
+    assert all(1700 <= d.year < 2100 for d in moved) and sum(a == b for a, b in zip(days, moved, strict=True)) < 5
+    assert {(d.month, d.day) for d in moved} > {(2, 29), (12, 31)}
+
+
 # 6 lines
 
 
@@ -549,6 +661,47 @@ def test_vector_best_fit_holds_every_capacity(rule):
         best_fit(np.array([101]), (100, 4, 1e9))
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize(("caps", "weights"), [((100, 4, 3000), (1.0, 0.5, 0.5)), ((100, 9, 9000), (1.0, 0.1, 0.1)), ((4096, 64, 0.9 * 4096**2), (1.0, 0.1, 0.1))])
+def test_vector_best_fit_chooses_the_best_bin(rule, caps, weights):
+    from evisim.llm.packing import best_fit
+
+    r = np.random.default_rng(5)
+    lengths = r.integers(1, int(caps[0] * 0.6) + 1, 400)
+    open_, want = [], {}
+    for i in sorted(range(400), key=lambda k: (-lengths[k], k)):
+        q = (int(lengths[i]), 1, int(lengths[i]) ** 2)
+        scores = []
+        for k, b in enumerate(open_):
+            left = [c - u for c, u in zip(caps, b)]
+            if all(x >= y for x, y in zip(left, q)):
+                if rule == "norm":
+                    scores.append((sum(w * ((x - y) / c) ** 2 for w, x, y, c in zip(weights, left, q, caps)), k))
+                else:
+                    scores.append((-sum(w * x / c * y / c for w, x, y, c in zip(weights, left, q, caps)), k))
+        if q[2] > caps[2] or not scores:
+            open_.append([0, 0, 0] if q[2] <= caps[2] else [caps[0], caps[1], caps[2]])
+            scores = [(0, len(open_) - 1)]
+        best = min(s for s, _ in scores)
+        want[i] = [k for s, k in scores if s <= best + 1e-12 * max(1, abs(best))]  # ties in floating point
+        k = want[i][0]
+        open_[k] = [u + x for u, x in zip(open_[k], q)]
+    got, _ = best_fit(lengths, caps, weights, rule)
+    same = sum(int(got[i]) in want[i] for i in range(400))
+    assert same == 400
+    dims = np.stack([np.bincount(got, lengths), np.bincount(got), np.bincount(got, lengths.astype(float) ** 2)], axis=1)
+    assert (dims[dims[:, 1] > 1].max(axis=0) <= caps).all() and dims[:, 0].max() <= caps[0]
+
+
+def test_packing_needs_few_sequences(spark):
+    from evisim.llm.packing import best_fit, DOCUMENTS, ATTENTION, WEIGHTS
+
+    r = np.random.default_rng(8)
+    lengths = np.minimum(4096, np.exp(r.normal(5.6, 1.3, 8192)).astype(int) + 1)
+    bins, _ = best_fit(lengths, (4096, DOCUMENTS, ATTENTION * 4096**2), WEIGHTS)
+    assert bins.max() + 1 <= 1.01 * -(-lengths.sum() // 4096)
+
+
 # 9 token counts
 
 
@@ -639,6 +792,20 @@ def test_equal_bundles_of_two_partitions_both_come_back(spark):
     assert [(r.page_id, r.record_type, bytes(r.payload)) for r in rows] == [(7, "response", b"page")] * 2 and index.select("bundle").distinct().count() == 2
 
 
+def test_damaged_payloads_are_found(spark, tmp_path):
+    from evisim.llm import warc
+
+    folder = str(tmp_path / "a")
+    index = warc.write_archives(spark.createDataFrame([(1, "http://x/", "page one")], "page_id long, url string, html string"), folder)
+    (path,) = (tmp_path / "a").glob("*.warc.zst")
+    bundle = warc.Bundle()
+    for name, *_ in warc.records_of(path.read_bytes()):
+        bundle.add(name, warc.record(1, "http://x/", b"page one", None, False).replace(b"page one", b"page two"))
+    path.write_bytes(bundle.close())
+    with pytest.raises(Exception, match="isn't what its header says"):
+        warc.read_archives(spark, folder, index).collect()
+
+
 # rows of one doc_id and without doc_id
 
 
