@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each one operator of evisim.llm over all that the stage before kept."""
+"""A corpus pipeline of five stages, each one operator of evisim.llm over all that the stage before kept.
+
+In every stage a null text is an empty one, texts of any length are taken whole, an empty table gives an empty one, and extra
+columns pass through until the last stage, whatever their names. Rows that share a doc_id, or have none, are documents by themselves unless their
+texts are equal too; what ties is settled by doc_id, then by the text's digest.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +19,27 @@ from evisim.llm.staging import staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy rejects go."""
+    """Documents that the policy rejects go; null and empty texts have too few words. Repeated rows are judged alike."""
     return keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the largest doc_id stays, null before none; rows equal in doc_id and text stay once."""
     return drop_repeats(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays."""
+    """Of each group of linked fingerprints the smallest doc_id stays, null last, then the smallest digest of the text."""
     return drop_near(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate and their draw say."""
+    """Documents as often as their source's rate and their draw say; null is a source. Rows of a doc_id draw alike."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their place in the sequences."""
+    """Pieces of documents and their place in the sequences, by tokens, documents and attention cost."""
     return pack_documents(docs, tokenizer_path(spark))
 
 
