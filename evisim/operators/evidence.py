@@ -131,8 +131,8 @@ def expected_overlap(found: DataFrame, expected: DataFrame) -> DataFrame:
     e = expected.select(F.col("algorithm").alias("ea"), F.lower("callee").alias("ec"))
     hit = F.col("callee").contains(F.col("ec")) | F.col("ec").contains(F.col("callee"))
     low = found.select("function", "algorithm", F.lower("callee").alias("callee")).distinct()
-    met = low.join(F.broadcast(e), (F.col("algorithm") == F.col("ea")) & hit).groupBy("function", "algorithm").agg(F.countDistinct("ec").alias("hits"))
-    every = found.select("function", "algorithm").distinct().join(F.broadcast(total), "algorithm")
+    met = low.join(e, (F.col("algorithm") == F.col("ea")) & hit).groupBy("function", "algorithm").agg(F.countDistinct("ec").alias("hits"))
+    every = found.select("function", "algorithm").distinct().join(total, "algorithm")
     return every.join(met, ["function", "algorithm"], "left").select("function", "algorithm", (F.coalesce("hits", F.lit(0)) / F.col("total")).alias("consistency"))
 
 

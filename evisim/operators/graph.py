@@ -1,4 +1,4 @@
-"""Iterative operators over edge tables. A round is a join and an aggregate; `stage` cuts its lineage (a checkpoint or a written table)."""
+"""Iterative operators over edge tables. A round is a join and an aggregate; `stage` cuts its lineage by a written table."""
 
 from __future__ import annotations
 
@@ -6,19 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-Stage = Callable[[DataFrame], DataFrame]
+from evisim.tables import written
 
+Stage = Callable[[DataFrame], DataFrame]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder; a local session without one gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        import tempfile
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evisim-"))
-    return df.checkpoint()
+checkpointed = written
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -100,17 +93,30 @@ def trace_paths(edges: DataFrame, roots: DataFrame, most: int, stage: Stage = ch
 
 
 def min_label_components(edges: DataFrame, stage: Stage = checkpointed) -> DataFrame:
-    """node, component (smallest reachable node) of an undirected edge table, by contraction towards the smallest neighbour."""
-    e = stage(edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    """node, component (smallest reachable node) of an undirected edge table.
+
+    In a round every node chooses its smallest neighbour; of two that choose each other the smaller is a root, and there are no
+    other cycles, so a round halves the nodes of a component at least. Pointers then jump, twice as far each time, until they are at a root, and
+    edges go on between roots.
+    """
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    home = stage(nodes.select("node", F.col("node").alias("component")))
+    home = stage(nodes.select("node", F.col("node").alias("root")))
+    e = stage(edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     while not e.isEmpty():
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stage(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("t")))
-        home = stage(home.join(step, F.col("component") == F.col("n"), "left").select("node", F.coalesce("t", "component").alias("component")))
-        x, y = step.select(F.col("n").alias("na"), F.col("t").alias("ta")), step.select(F.col("n").alias("nb"), F.col("t").alias("tb"))
+        to = stage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("n")).agg(F.min("b").alias("t")))
+        back = to.select(F.col("n").alias("m"), F.col("t").alias("u"))
+        to = stage(to.join(back, F.col("t") == F.col("m")).select("n", F.when((F.col("u") == F.col("n")) & (F.col("n") < F.col("t")), F.col("n")).otherwise(F.col("t")).alias("t")))
+        while True:
+            onward = to.filter("n <> t").select(F.col("n").alias("m"), F.col("t").alias("u"))
+            jumped = stage(to.join(onward, F.col("t") == F.col("m"), "left").select("n", F.coalesce("u", "t").alias("t"), F.col("u").isNotNull().alias("moved")))
+            to = jumped.drop("moved")
+            if jumped.filter("moved").isEmpty():
+                break
+        home = stage(home.join(to, F.col("root") == F.col("n"), "left").select("node", F.coalesce("t", "root").alias("root")))
+        x, y = to.select(F.col("n").alias("na"), F.col("t").alias("ta")), to.select(F.col("n").alias("nb"), F.col("t").alias("tb"))
         e = stage(e.join(x, F.col("a") == F.col("na")).join(y, F.col("b") == F.col("nb")).filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-    return home
+    low = home.groupBy("root").agg(F.min("node").alias("component")).withColumnRenamed("root", "r")
+    return home.join(low, F.col("root") == F.col("r")).select("node", "component")
 
 
 def strong_components(edges: DataFrame, stage: Stage = checkpointed) -> DataFrame:
@@ -199,7 +205,25 @@ def template_match(found: DataFrame, stages: DataFrame, part: float = 0.3, least
     """
     sizes = stages.groupBy("template", "stage").agg(F.countDistinct("indicator").alias("n"))
     total = stages.groupBy("template").agg(F.countDistinct("stage").alias("total"))
-    hits = found.distinct().join(F.broadcast(stages.distinct()), "indicator").groupBy("entity", "template", "stage").agg(F.count(F.lit(1)).alias("h"))
-    scored = hits.join(F.broadcast(sizes), ["template", "stage"]).withColumn("score", F.least(F.lit(1.0), F.col("h") / (part * F.col("n"))))
-    per = scored.groupBy("entity", "template").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n_stages")).join(F.broadcast(total), "template")
+    hits = found.distinct().join(stages.distinct(), "indicator").groupBy("entity", "template", "stage").agg(F.count(F.lit(1)).alias("h"))
+    scored = hits.join(sizes, ["template", "stage"]).withColumn("score", F.least(F.lit(1.0), F.col("h") / (part * F.col("n"))))
+    per = scored.groupBy("entity", "template").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n_stages")).join(total, "template")
     return per.filter(F.col("n_stages") >= F.greatest(F.lit(least), F.ceil(share * F.col("total")))).select("entity", "template", (F.col("s") / F.col("total")).alias("coverage"), "n_stages")
+
+
+def wl_hash(nodes: DataFrame, edges: DataFrame, rounds: int = 3, stage: Stage = checkpointed) -> DataFrame:
+    """graph, hash, n_nodes, n_edges of nodes(graph, node, label) and edges(graph, src, dst): a Weisfeiler-Lehman hash.
+
+    A node's colour is the MD5 of its own, the sorted ones of its successors and of its predecessors; a graph's hash
+    is that of its nodes' sorted colours. A round is two joins by graph and node, so graphs of any number run at once.
+    """
+    colours = nodes.select("graph", "node", F.md5(F.col("label").cast("string")).alias("c"))
+    e = edges.join(nodes.select("graph", F.col("node").alias("src")), ["graph", "src"], "left_semi").join(nodes.select("graph", F.col("node").alias("dst")), ["graph", "dst"], "left_semi")
+    near = lambda mine, other: e.join(colours.select("graph", F.col("node").alias(other), "c"), ["graph", other]).groupBy("graph", F.col(mine).alias("node")).agg(F.array_join(F.array_sort(F.collect_list("c")), ",").alias(mine))
+    for _ in range(rounds):
+        joined = colours.join(near("src", "dst"), ["graph", "node"], "left").join(near("dst", "src"), ["graph", "node"], "left")
+        text = F.concat(F.col("c"), F.lit("|"), F.coalesce("src", F.lit("")), F.lit("|"), F.coalesce("dst", F.lit("")))
+        colours = stage(joined.select("graph", "node", F.md5(text).alias("c")))
+    n_edges = e.groupBy("graph").agg(F.count(F.lit(1)).alias("n_edges"))
+    per = colours.groupBy("graph").agg(F.md5(F.array_join(F.array_sort(F.collect_list("c")), "|")).alias("hash"), F.count(F.lit(1)).alias("n_nodes"))
+    return per.join(n_edges, "graph", "left").select("graph", "hash", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))

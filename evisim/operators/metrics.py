@@ -56,7 +56,7 @@ def regression_gate(current: DataFrame, baseline: DataFrame, warn: float = 0.05,
     j = current.join(baseline.select("metric", F.col("value").alias("base")), "metric", "left")
     drop = F.bround((F.col("base") - F.col("value")) / F.col("base"), 9)  # a drop of exactly the bound counts as one
     status = F.when(F.col("base").isNull(), "new").when(F.col("base") == 0, "ok").when(drop >= fail, "fail").when(drop >= warn, "warn").otherwise("ok")
-    return j.select("metric", F.col("base").alias("baseline"), F.col("value").alias("current"), F.bround(-drop, 6).alias("change"), status.alias("status"))
+    return j.select("metric", F.col("base").alias("baseline"), F.col("value").alias("current"), F.bround((F.col("value") - F.col("base")) / F.col("base"), 6).alias("change"), status.alias("status"))
 
 
 def type_precision(predicted: DataFrame, truth: DataFrame) -> DataFrame:

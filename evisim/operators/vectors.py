@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evisim.operators.matching import best_per_target
@@ -82,11 +80,3 @@ def lsh_candidates(sets: DataFrame, queries: DataFrame, size: int = 16, rows: in
     w = Window.partitionBy("r").orderBy(F.desc("agreement"), "t")
     scored = hits.select("r", "t", (same / size).alias("agreement"))
     return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
-
-
-def weighted_code_similarity(terms: Sequence[tuple[float, Column]]) -> Column:
-    """A weighted sum of similarity terms."""
-    out = F.lit(0.0)
-    for weight, term in terms:
-        out = out + weight * term
-    return out

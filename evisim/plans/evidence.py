@@ -77,11 +77,10 @@ _LOG_ODDS = _C + f"""SELECT symbol, name, round_even(least(greatest(1 / (1 + exp
 
 
 def merge_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one_each = _candidates(spark, sf_dir).filter("ord % 7 = 0")
-    return ev.merge_decision(one_each, WEIGHTS).withColumn("confidence", F.bround("confidence", 6))
+    return ev.merge_decision(_candidates(spark, sf_dir), WEIGHTS).withColumn("confidence", F.bround("confidence", 6))
 
 
-_MERGE = _C + f""", g AS (SELECT symbol, name, sum({_W_SQL} * {_LOGIT}) AS odds, count(DISTINCT source) AS sources, max(confidence * {_W_SQL}) AS damped, min(ord) AS ord FROM c WHERE ord % 7 = 0 GROUP BY ALL),
+_MERGE = _C + f""", g AS (SELECT symbol, name, sum({_W_SQL} * {_LOGIT}) AS odds, count(DISTINCT source) AS sources, max(confidence * {_W_SQL}) AS damped, min(ord) AS ord FROM c GROUP BY ALL),
 w AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sources >= 2 DESC, CASE WHEN sources >= 2 THEN ord END NULLS LAST, damped DESC, ord) AS rn FROM g),
 d AS (SELECT symbol, name, CASE WHEN sources >= 2 THEN least(greatest(1 / (1 + exp(-least(greatest(odds, -20), 20))), 0.01::DOUBLE), 0.99::DOUBLE) ELSE damped END AS confidence, CASE WHEN sources >= 2 THEN 'exact_multi' ELSE 'single' END AS method FROM w WHERE rn = 1)
 SELECT symbol, name, round_even(confidence, 6) AS confidence, method FROM d WHERE confidence >= 0.30"""

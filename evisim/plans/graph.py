@@ -78,21 +78,21 @@ def longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS src", "explode(array(s_suppkey + 1, s_suppkey - 2, 2 * s_suppkey)) AS dst")
-    roots = _t(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 1").selectExpr("s_suppkey AS node")
+    roots = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS node")
     return g.trace_paths(edges, roots, 4).select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
 
 
 _TRACES = """WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS src, unnest([s_suppkey + 1, s_suppkey - 2, 2 * s_suppkey]) AS dst FROM supplier),
-t AS (SELECT s_suppkey AS root, [s_suppkey] AS path, 0 AS depth FROM supplier WHERE s_suppkey % 10 = 1 UNION ALL SELECT root, list_append(path, dst), depth + 1 FROM t JOIN e ON path[-1] = src WHERE depth < 4 AND NOT list_contains(path, dst))
+t AS (SELECT s_suppkey AS root, [s_suppkey] AS path, 0 AS depth FROM supplier UNION ALL SELECT root, list_append(path, dst), depth + 1 FROM t JOIN e ON path[-1] = src WHERE depth < 4 AND NOT list_contains(path, dst))
 SELECT root, array_to_string(path, '>') AS path, depth FROM t"""
 
 
 def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = _t(spark, sf_dir, "part").filter("p_partkey % 50 = 1").selectExpr("p_partkey AS node")
+    roots = _t(spark, sf_dir, "part").selectExpr("p_partkey AS node")
     return g.closure_depth(_calls(spark, sf_dir), roots, 4)
 
 
-_REACH = _CALLS + """, r AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 50 = 1 UNION SELECT root, dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 4)
+_REACH = _CALLS + """, r AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION SELECT root, dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 4)
 SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL"""
 
 
@@ -120,11 +120,11 @@ SELECT writer, reader, field, round_even(least(0.45::DOUBLE + CASE WHEN (writer,
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS entity", "l_suppkey % 30 AS indicator")
-    stages = _t(spark, sf_dir, "supplier").filter("s_suppkey <= 100").selectExpr("concat('t', s_suppkey % 4) AS template", "s_suppkey % 12 AS stage", "s_suppkey % 30 AS indicator")
+    stages = _t(spark, sf_dir, "supplier").selectExpr("concat('t', s_suppkey % 4) AS template", "s_suppkey % 12 AS stage", "s_suppkey % 30 AS indicator")
     return g.template_match(found, stages).withColumn("coverage", F.bround("coverage", 6))
 
 
-_TEMPLATES = """WITH f AS (SELECT DISTINCT l_orderkey AS entity, l_suppkey % 30 AS indicator FROM lineitem), s AS (SELECT DISTINCT 't' || s_suppkey % 4 AS template, s_suppkey % 12 AS stage, s_suppkey % 30 AS indicator FROM supplier WHERE s_suppkey <= 100),
+_TEMPLATES = """WITH f AS (SELECT DISTINCT l_orderkey AS entity, l_suppkey % 30 AS indicator FROM lineitem), s AS (SELECT DISTINCT 't' || s_suppkey % 4 AS template, s_suppkey % 12 AS stage, s_suppkey % 30 AS indicator FROM supplier),
 n AS (SELECT template, stage, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT template, count(DISTINCT stage) AS total FROM s GROUP BY 1),
 h AS (SELECT entity, template, stage, count(*) AS h FROM f JOIN s USING (indicator) GROUP BY ALL),
 p AS (SELECT entity, template, sum(least(1.0::DOUBLE, h / (0.3::DOUBLE * n))) AS s, count(*) AS n_stages FROM h JOIN n USING (template, stage) GROUP BY ALL)

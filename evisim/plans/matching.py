@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evisim.operators import intervals, matching as m
+from evisim.tables import written
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +119,7 @@ def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, tgt = _functions(spark, sf_dir)
     code = F.sha2(F.concat_ws("|", "code", "return_type"), 256)
     steps = [("hash", lambda a, b: m.unique_key_match(a.withColumn("h", code), b.withColumn("h", code), "h")), ("fingerprint", m.fingerprint_match), ("quantized", m.quantized_match)]
-    return m.cascade(ref, tgt, steps, lambda d: d)
+    return m.cascade(ref, tgt, steps, written)
 
 
 _CASCADE = (

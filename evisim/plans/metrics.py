@@ -67,7 +67,7 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GATE = """WITH b AS (SELECT p_brand AS metric, avg(p_size) AS base FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1), c AS (SELECT p_brand AS metric, avg(p_size) AS value FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1)
-SELECT metric, round_even(base, 6) AS baseline, round_even(value, 6) AS current, round_even(-(base - value) / base, 6) AS change, CASE WHEN base IS NULL THEN 'new' WHEN base = 0 THEN 'ok' WHEN round_even((base - value) / base, 9) >= 0.10 THEN 'fail' WHEN round_even((base - value) / base, 9) >= 0.05 THEN 'warn' ELSE 'ok' END AS status FROM c LEFT JOIN b USING (metric)"""
+SELECT metric, round_even(base, 6) AS baseline, round_even(value, 6) AS current, round_even((value - base) / base, 6) AS change, CASE WHEN base IS NULL THEN 'new' WHEN base = 0 THEN 'ok' WHEN round_even((base - value) / base, 9) >= 0.10 THEN 'fail' WHEN round_even((base - value) / base, 9) >= 0.05 THEN 'warn' ELSE 'ok' END AS status FROM c LEFT JOIN b USING (metric)"""
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
