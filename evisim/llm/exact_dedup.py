@@ -30,6 +30,8 @@ from evisim.llm.words import text_of
 SHARD_KEYS = 2048
 GAMMA = 1.5
 LEVELS = 48
+#: A table of rows to leave out, of about 50 bytes each, is sent to all tasks up to this many.
+SEND_ROWS = 200_000
 
 INDEX = "shard long, n long, levels array<binary>, widths array<long>, rest array<binary>, digests binary, winners array<long>, sizes array<long>"
 
@@ -177,8 +179,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id and text's digest are in rows(doc_id, digest). rows is a written table, so Spark knows whether it is small enough to send."""
+    """docs without the rows whose doc_id and text's digest are in rows(doc_id, digest), a written table: sent if its rows are few, else both are shuffled."""
     gone = rows.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__d"))
+    if rows.limit(SEND_ROWS + 1).count() <= SEND_ROWS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(text_of(), 256)) == F.col("__d")), "left_anti")
 
 
