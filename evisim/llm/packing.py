@@ -33,9 +33,9 @@ GROUP = 8192
 #: Documents and attention cost (as a part of the square of the tokens) of a sequence, and weights of tokens, documents, attention.
 DOCUMENTS, ATTENTION, WEIGHTS = 64, 0.9, (1.0, 1.0, 1.0)
 #: Words that a worker remembers; at that number it forgets all.
-WORDS = 500_000
+WORDS = 250_000
 #: Bytes of text, more or less, that are split and gathered at once.
-SLICE = 3_000_000
+SLICE = 2_000_000
 #: A chunk of letters that normalising leaves alone but for case, with one mark after it at most.
 PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,!?;:]?$"
 MARKS = ".,!?;:"
@@ -153,6 +153,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
                     cols.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            del whole, batch, ids, parts
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dige
         for batch in it:
             fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digest)
 
