@@ -43,7 +43,7 @@ for _p, _n in ((r"/\*[^*]*\*+([^/*][^*]*\*+)*/", " "), (r"//[^\n]*", " "), (r"\b
 
 
 def entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.bround(tx.entropy(F.col("text")), 6).alias("entropy"))
+    return tx.entropies(_t(spark, sf_dir, "documents")).select("doc_id", F.bround("entropy", 6).alias("entropy"))
 
 
 _ENTROPY = """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, count(*) AS n FROM c WHERE ch <> '' GROUP BY doc_id, ch), t AS (SELECT doc_id, sum(n) AS total FROM n GROUP BY 1)
