@@ -23,6 +23,8 @@ from evisim.llm.packing import slices
 
 MARK = "▁"
 NODES = 600_000
+#: Bytes of text, more or less, whose distinct words are looked up at once.
+SLICE = 3_000_000
 #: What a byte of a character outside the vocabulary scores below the lowest piece.
 BYTE_PENALTY = 10.0
 
@@ -90,7 +92,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
             _tries[model_path] = Trie(ranked_pieces(model_path))
         trie = _tries[model_path]
         for whole in it:
-            for batch in slices(whole):
+            for batch in slices(whole, most=SLICE):
                 lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1).cast(pa.large_string()), ""))
                 ends, found = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
                 counts = np.zeros(len(found.dictionary), np.int64)
