@@ -33,9 +33,9 @@ GROUP = 8192
 #: Documents and attention cost (as a part of the square of the tokens) of a sequence, and weights of tokens, documents, attention.
 DOCUMENTS, ATTENTION, WEIGHTS = 64, 0.9, (1.0, 1.0, 1.0)
 #: Words that a worker remembers; at that number it forgets all.
-WORDS = 250_000
+WORDS = 500_000
 #: Bytes of text, more or less, that are split and gathered at once.
-SLICE = 2_000_000
+SLICE = 2_500_000
 #: A chunk of letters that normalising leaves alone but for case, with one mark after it at most.
 PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,!?;:]?$"
 MARKS = ".,!?;:"
