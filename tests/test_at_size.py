@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from evisim.operators import intervals
+from evisim.operators import intervals, matching
 
 
 def _plan(df) -> str:
@@ -24,3 +24,19 @@ def test_nearest_looks_at_no_frame_to_the_end_and_crosses_cells(spark):
         got = intervals.nearest(spark.createDataFrame(points, "group long, p long"), spark.createDataFrame(keys, "group long, key long"), 10, cell)
         assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
         assert "unboundedfollowing" not in _plan(got).lower()
+
+
+def test_nearest_unused_deals_whole_runs_by_cells(spark):
+    r = random.Random(7)
+    ref = [(g, i, r.randrange(9000)) for g in range(2) for i in range(120)] + [(2, i, 100_000 * i) for i in range(300)]
+    tgt = [(g, 1000 + i, r.randrange(9000)) for g in range(2) for i in range(90)] + [(2, 1000 + i, 100_000 * i + 5) for i in range(300)]
+    want = set()
+    for g in range(3):
+        free = sorted((a, t) for h, t, a in tgt if h == g)
+        for a, i in sorted((a, i) for h, i, a in ref if h == g):
+            near = [(abs(a - b), n) for n, (b, _) in enumerate(free) if abs(a - b) < 40]
+            if near:
+                want.add((g, i, free.pop(min(near)[1])[1]))
+    for cell in (1, 3, 10_000):  # runs go over many cells, over a few, and lie in one together
+        got = matching.nearest_unused(spark.createDataFrame(ref, "group long, r long, at long"), spark.createDataFrame(tgt, "group long, t long, at long"), 40, cell)
+        assert {tuple(x) for x in got.collect()} == want and len(want) > 350
