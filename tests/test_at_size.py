@@ -56,3 +56,22 @@ def test_masked_patterns_meet_by_their_literal_digits(spark):
     got = intervals.masked_pattern_match(spark.createDataFrame(functions, "id long, hex string"), spark.createDataFrame(patterns, "sig long, pattern string, low int, high int, confidence double"))
     assert {tuple(x) for x in got.collect()} == want and len(want) > 100
     assert "rlike" not in _plan(got).lower()
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from evisim.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 16)  # several blocks on either side
+    g = np.random.default_rng(4)
+    v = g.integers(-2, 3, (90, 4)).astype(float)  # with equal scores, and perhaps zero vectors
+    v[7] = 0
+    df = spark.createDataFrame([(i, x.tolist(), f"{i % 4}") for i, x in enumerate(v)] + [(90, None, "1"), (91, [1.0, 2.0], "1")], "id long, v array<double>, hash string")
+    bank = df.filter("id % 3 <> 1")
+    unit = {i: x / np.linalg.norm(x) for i, x in enumerate(v) if x.any()}
+    score = {(a, b): round(float(unit[a] @ unit[b]), 6) for a in unit for b in unit if b % 3 != 1 and a != b}
+    best = lambda low, k, ok=lambda a, b: True: {(a, b, score[a, b]) for a in unit for b in sorted((b for b in unit if score.get((a, b), -2) >= low and ok(a, b)), key=lambda b: (-score[a, b], b))[:k]}
+    for k in (1, 3):
+        assert {tuple(x) for x in vectors.cosine_pairs(df, bank, 0.5, k=k).collect()} == best(0.5, k)
+    assert {tuple(x) for x in vectors.cosine_pairs(df, bank, 0.5).collect()} == best(0.5, None)
