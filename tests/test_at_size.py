@@ -75,3 +75,7 @@ def test_vectors_meet_in_blocks(spark, monkeypatch):
     for k in (1, 3):
         assert {tuple(x) for x in vectors.cosine_pairs(df, bank, 0.5, k=k).collect()} == best(0.5, k)
     assert {tuple(x) for x in vectors.cosine_pairs(df, bank, 0.5).collect()} == best(0.5, None)
+    same = best(0.3, 1, lambda a, b: a % 4 == b % 4)
+    rest = {x for x in best(0.6, 1) if x[0] not in {s[0] for s in same}}
+    got = vectors.prefilter_match(df, bank, 0.3, 0.6).collect()
+    assert {tuple(x)[:3] for x in got if x.confidence == 0.85} == same and {tuple(x)[:3] for x in got if x.confidence == 0.70} == rest
