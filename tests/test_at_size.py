@@ -79,3 +79,24 @@ def test_vectors_meet_in_blocks(spark, monkeypatch):
     rest = {x for x in best(0.6, 1) if x[0] not in {s[0] for s in same}}
     got = vectors.prefilter_match(df, bank, 0.3, 0.6).collect()
     assert {tuple(x)[:3] for x in got if x.confidence == 0.85} == same and {tuple(x)[:3] for x in got if x.confidence == 0.70} == rest
+
+
+def test_banded_minhash_compares_equal_sets_once(spark):
+    from hashlib import md5
+
+    from evisim.operators import vectors
+
+    r = random.Random(2)
+    sets = [(i, sorted(r.sample("abcdefgh", r.randrange(0, 5)))) for i in range(120)]
+    sig = {i: [min((int(md5(f"{n}:{t}".encode()).hexdigest()[:7], 16) for t in ts), default=None) for n in range(16)] for i, ts in sets}
+    want = set()
+    for q in range(0, 120, 5):
+        found = []
+        for t in sig:
+            bands = any(sig[q][b : b + 4] == sig[t][b : b + 4] for b in range(0, 16, 4))
+            if t != q and bands:
+                found.append((-sum(x is not None and x == y for x, y in zip(sig[q], sig[t], strict=True)) / 16, t))
+        want |= {(q, t, -a) for a, t in sorted(found)[:5]}
+    df = spark.createDataFrame(sets, "id long, tokens array<string>")
+    got = {tuple(x) for x in vectors.lsh_candidates(df, df.filter("id % 5 = 0")).collect()}
+    assert got == want and len(want) > 60
