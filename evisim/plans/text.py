@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evisim.functions import exprs as ex
 from evisim.operators import text as tx
+from evisim.tables import written
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,22 @@ _NAMES = r"""WITH r AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'm_' WH
 SELECT p_partkey, regexp_replace(lower(regexp_replace(regexp_replace(raw, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '^[msgp]_', '')), '^_+|_+$', '', 'g') AS name, length(raw) >= 3 AND regexp_matches(raw, '^[A-Za-z][A-Za-z0-9]*(_[A-Za-z0-9]+)*$') AS meaningful FROM r"""
 
 
+#: Pairs of names up to which the table of them is sent.
+NAME_PAIRS = 100_000
+
+
 def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part").selectExpr("p_partkey", "replace(p_name, ' ', '_') AS a", "p_brand", "p_size")
-    pairs = p.alias("x").join(p.alias("y"), (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    a, b = F.col("x.a"), F.concat(F.col("y.a"), F.when(F.col("y.p_partkey") % 2 == 0, "").otherwise("_x"))
-    return pairs.select(F.col("x.p_partkey").alias("r"), F.col("y.p_partkey").alias("t"), F.bround(ex.partial_overlap(a, b), 6).alias("overlap"), F.bround(ex.jaccard(ex.words_of(a), ex.words_of(b)), 6).alias("jaccard"))
+    """All pairs of a brand and size. Two names are compared once, wherever they meet; pairs of keys look them up."""
+    p = _t(spark, sf_dir, "part").selectExpr("p_partkey", "replace(p_name, ' ', '_') AS a", "p_brand", "p_size", "p_partkey % 2 = 0 AS even")
+    x = p.drop("even")
+    y = p.select(F.col("p_partkey").alias("t"), F.col("a").alias("c"), "even", "p_brand", "p_size")
+    at = ["p_brand", "p_size"]
+    names = x.select("a", *at).distinct().join(y.select("c", "even", *at).distinct(), at).select("a", "c", "even").distinct()
+    a, b = F.col("a"), F.concat("c", F.when(F.col("even"), "").otherwise("_x"))
+    compared = written(names.select(a.alias("a1"), F.col("c").alias("c1"), F.col("even").alias("e1"), F.bround(ex.partial_overlap(a, b), 6).alias("overlap"), F.bround(ex.jaccard(ex.words_of(a), ex.words_of(b)), 6).alias("jaccard")))
+    compared = F.broadcast(compared) if compared.limit(NAME_PAIRS + 1).count() <= NAME_PAIRS else compared
+    pairs = x.join(y, at).filter("p_partkey < t")
+    return pairs.join(compared, a.eqNullSafe(F.col("a1")) & F.col("c").eqNullSafe(F.col("c1")) & (F.col("even") == F.col("e1"))).select(F.col("p_partkey").alias("r"), "t", "overlap", "jaccard")
 
 
 _OVERLAP = """WITH p AS (SELECT p_partkey AS k, replace(p_name, ' ', '_') AS a, p_brand, p_size FROM part), q AS (SELECT x.k AS r, y.k AS t, x.a, y.a || CASE WHEN y.k % 2 = 0 THEN '' ELSE '_x' END AS b FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.k < y.k),

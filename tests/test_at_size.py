@@ -125,3 +125,15 @@ def test_similar_sets_meet_by_their_first_members(spark, monkeypatch):
         monkeypatch.setattr(dispatch, "FEW", few)
         assert {x.id for x in dispatch.drop_similar(df).select("id").distinct().collect()} == set(sets) - gone
     assert 40 < len(gone) < 240
+
+
+def test_names_are_compared_once_for_all_their_pairs(spark, tmp_path):
+    from evisim.plans import text
+
+    parts = [(i, "ab cd" if i % 3 else None, "b", 1) for i in range(6)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = text.overlap(spark, str(tmp_path))
+    assert "array_intersect" not in _plan(got)
+    found = {(x.r, x.t): x.overlap for x in got.collect()}
+    assert set(found) == {(a, b) for b in range(6) for a in range(b)}
+    assert found[1, 2] == 1.0 and found[1, 5] == round(5 / 7, 6) and found[0, 1] is None
