@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from evisim.operators import intervals, matching
+from evisim.operators import graph, intervals, matching
 
 
 def _plan(df) -> str:
@@ -137,3 +137,26 @@ def test_names_are_compared_once_for_all_their_pairs(spark, tmp_path):
     found = {(x.r, x.t): x.overlap for x in got.collect()}
     assert set(found) == {(a, b) for b in range(6) for a in range(b)}
     assert found[1, 2] == 1.0 and found[1, 5] == round(5 / 7, 6) and found[0, 1] is None
+
+
+def test_writers_and_readers_send_no_table_of_calls(spark, tmp_path):
+    r = random.Random(15)
+    acc = [(r.choice([None, *range(40)]), r.choice([None, *range(30)]), r.choice(["r", "w", "x", None])) for _ in range(600)]
+    acc += [(100, i, "w" if i % 2 else "r") for i in range(21)] + [(101, i, "w" if i % 2 else "r") for i in range(20)]
+    calls = [(r.choice([None, *range(30)]), r.choice([None, *range(30)])) for _ in range(120)]
+    e, want = set(calls), set()
+    called = {b: {a for a, d in e if d == b and a is not None} for b in range(30)}
+    for f in {a[0] for a in acc} - {None}:
+        mine = {a for a in acc if a[0] == f}
+        if len(mine) > 20:
+            continue
+        for w in {x for _, x, k in mine if k == "w"} - {None}:
+            for q in {x for _, x, k in mine if k == "r"} - {None, w}:
+                want.add((w, q, f, round(0.45 + 0.15 * bool(called[w] & called[q]) + 0.2 * ((w, q) in e) + 0.1 * ((q, w) in e), 6)))
+    got = graph.writer_reader_edges(spark.createDataFrame(acc, "field long, func long, kind string"), spark.createDataFrame(calls, "src long, dst long"), 20)
+    rows = [(*x[:3], round(x[3], 6)) for x in got.collect()]
+    assert sorted(rows) == sorted(want) and len({x[3] for x in want}) > 4 and any(x[2] == 101 for x in want) and not any(x[2] == 100 for x in want)
+    # Files of a few MB hold calls of hundreds: their planned size isn't trusted.
+    spark.range(500).selectExpr("id % 50 AS field", "id AS func", "if(id % 2 = 0, 'w', 'r') AS kind").write.parquet(f"{tmp_path}/a")
+    spark.range(100).selectExpr("id AS src", "id + 1 AS dst").write.parquet(f"{tmp_path}/c")
+    assert "broadcasthashjoin" not in _plan(graph.writer_reader_edges(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/c"))).lower()
