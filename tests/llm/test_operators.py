@@ -549,6 +549,30 @@ def test_lines_with_a_long_common_passage(spark):
     assert kept >= set(label) and len(lines) - len(kept) >= 0.9 * (len(lines) - len(set(label))) and got[0].gone == 2 and got[0]["__row"] == 3
 
 
+def test_lines_of_a_crowded_place_meet_each_other(spark, monkeypatch):
+    from evisim.llm import line_dedup
+    from evisim.llm.staging import staged
+
+    texts = []
+    for k in range(30):  # pairs, each a chain of three at times, that have one anchor with all the others and no other
+        words = prose(5000 + k, 12 + k % 9).split()
+        texts.append(" ".join(words))
+        for m in range(1 + (k % 3 == 0)):
+            words[m * 5 : m * 5 + 2] = ["zz" * (m + 1), "qq"]
+            texts.append(" ".join(words))
+    similar = lambda a, b: 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8
+    label = slow_components(texts, similar)
+    assert 25 <= len(set(label)) < len(texts) - 25
+    r = random.Random(3)
+    rows = [(i, i, r.getrandbits(63), [7], len(x)) for i, x in enumerate(texts)]
+    lines = staged(spark.createDataFrame(rows, "id long, id2 long, fp long, anchors array<long>, length int"), "test")
+    for block in (2048, 5):  # a place in one block, and over many
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        found = line_dedup.linked_lines(lines, lambda nodes: staged(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), "test"), len(texts))
+        root = {x.node: x.root for x in found.collect()}
+        assert [root.get(i, i) for i in range(len(texts))] == label
+
+
 def test_fuzzy_recall_with_letters_changed_all_over(spark):
     from evisim.llm.line_dedup import drop_lines
 
