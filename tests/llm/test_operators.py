@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -573,6 +574,59 @@ def test_lines_of_a_crowded_place_meet_each_other(spark, monkeypatch):
         assert [root.get(i, i) for i in range(len(texts))] == label
 
 
+def test_lines_of_neighbouring_classes_of_length_meet(spark):
+    from evisim.llm import line_dedup
+    from evisim.llm.staging import staged
+
+    r, small = random.Random(12), []
+    for k in range(18, 33, 3):  # of a crowded place: two alike are in neighbouring classes of length, and each is alone in its own
+        base = prose(7000 + k, 400)[: int(1.25**k) - 2].rstrip()
+        small += [base, f"{base} ab c"]
+    similar = lambda a, b: 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8
+    assert len(small) > line_dedup.FEW and len({math.floor(math.log(len(x), 1.25)) for x in small}) == len(small)
+    rows = [(i, i, r.getrandbits(63), [7], len(x)) for i, x in enumerate(small)]
+    lines = staged(spark.createDataFrame(rows, "id long, id2 long, fp long, anchors array<long>, length int"), "test")
+    asked = []
+
+    def texts_of(nodes):
+        asked.extend(x.node for x in nodes.collect())
+        return staged(spark.createDataFrame(list(enumerate(small)), "node long, text string").join(nodes, "node", "left_semi"), "test")
+
+    root = {x.node: x.root for x in line_dedup.linked_lines(lines, texts_of, len(small)).collect()}
+    for i in range(0, len(small) - 1, 2):
+        assert similar(small[i], small[i + 1]) and root[i] == root[i + 1] == i
+    assert len(asked) == len(set(asked))
+
+
+def test_pair_filters_lose_no_pair_and_many_are_refused_early():
+    from evisim.llm import line_dedup
+    from evisim.llm.edit_distance import PAIRS, Texts, common_words, edits, promising, within
+
+    r, x, y = random.Random(21), [], []
+    for k in range(900):
+        a = prose(8000 + k, 1 + k % 60).split()
+        b = list(a) if k % 3 else prose(9000 + k, 1 + k % 60).split()
+        for _ in range(r.randrange(1 + len(a) // 4)):
+            at = r.randrange(len(b))
+            b[at : at + r.randrange(3)] = [r.choice(["q", "zz" * 20, "other"])] * r.randrange(3)
+            b = b or ["q"]
+        x.append(" ".join(a))
+        y.append(" ".join(b))
+    zx, zy, rows = Texts(x), Texts(y), np.arange(len(x))
+    most = line_dedup.allowed(np.maximum(zx.size, zy.size), 0.8)
+    got = within(zx, zy, rows, rows, most, line_dedup.OVERLAP, 5)
+    near = np.array([edits(a, b, 10_000) for a, b in zip(x, y, strict=True)]) <= most
+    common = (common_words(zx, zy, rows, rows) >= line_dedup.OVERLAP) | np.array([min(len(a.split()), len(b.split())) < 5 for a, b in zip(x, y, strict=True)])
+    may = promising(zx, zy, rows, rows, most, line_dedup.OVERLAP, 5)
+    assert not (near & common & ~got).any() and not (got & ~near).any() and not (got & ~may).any()
+    assert 250 < got.sum() and (~may).sum() > 150 and len(x) < PAIRS
+    # In a crowded place the matrices leave every pair that is similar, and few of the others.
+    z = Texts(x + y)
+    n, all_ = len(z.size), np.ones(len(z.size), bool)
+    left = {(int(i), int(j)) for i, j, _ in line_dedup.apart(z, 0, n, np.arange(n), all_, all_, all_, 0.8, line_dedup.Words(z, np.arange(n))) for i, j in zip(i, j, strict=True)}
+    assert all((k, k + len(x)) in left for k in np.flatnonzero(got).tolist()) and len(left) < 0.02 * n * n
+
+
 def test_fuzzy_recall_with_letters_changed_all_over(spark):
     from evisim.llm.line_dedup import drop_lines
 
